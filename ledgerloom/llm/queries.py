@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.duplicates import collapse, copies
+from ledgerloom.llm.leakage import cleaned, leaks
+from ledgerloom.llm.lookalikes import consistent, look_pairs, same_look
 from ledgerloom.llm.mirror_legs import match_legs
 from ledgerloom.runtime import table
 
@@ -31,5 +33,33 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(table(spark, sf_dir, "invoices"), "row_id", INVOICE_TEXTS, INVOICE_NUMBERS, "extended_amount")[0].select("first_row_id", "copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in each document which item leaked, and how much of it."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the leaked passages."""
+    return cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that looks like a differing one, with its class."""
+    return same_look(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "same_as")
+
+
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its consistent form."""
+    return consistent(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "form")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p8_found, p8_spans, p8_cleaned, p10_found, p10_classes, p10_forms)}
 SQL: dict[str, str] = {}
