@@ -9,6 +9,7 @@ from ledgerloom.llm.duplicates import collapse, copies
 from ledgerloom.llm.leakage import cleaned, leaks
 from ledgerloom.llm.lookalikes import consistent, look_pairs, same_look
 from ledgerloom.llm.mirror_legs import match_legs
+from ledgerloom.llm.names import parties, spelling_pairs
 from ledgerloom.runtime import table
 
 INVOICE_TEXTS = ["invoice_no", "vendor", "invoice_date", "po_no", "item", "requester", "source"]
@@ -33,6 +34,19 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(table(spark, sf_dir, "invoices"), "row_id", INVOICE_TEXTS, INVOICE_NUMBERS, "extended_amount")[0].select("first_row_id", "copies")
 
 
+def typed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "invoices").select("vendor").unionAll(table(spark, sf_dir, "pos").select("vendor")).unionAll(table(spark, sf_dir, "aging").select("customer"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_pairs(typed_names(spark, sf_dir), "vendor")
+
+
+def p5_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its party."""
+    return parties(typed_names(spark, sf_dir), "vendor")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -61,5 +75,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p8_found, p8_spans, p8_cleaned, p10_found, p10_classes, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p5_found, p5_parties, p8_found, p8_spans, p8_cleaned, p10_found, p10_classes, p10_forms)}
 SQL: dict[str, str] = {}
