@@ -9,6 +9,7 @@ from ledgerloom.llm.duplicates import collapse, copies
 from ledgerloom.llm.leakage import cleaned, leaks
 from ledgerloom.llm.lookalikes import consistent, look_pairs, same_look
 from ledgerloom.llm.mirror_legs import match_legs
+from ledgerloom.llm.mixing import document_uses, mix
 from ledgerloom.llm.names import parties, spelling_pairs
 from ledgerloom.runtime import table
 
@@ -61,6 +62,21 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of each source and the share of all tokens it reaches."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[2]
+
+
+def p9_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: what block fills each slot of each shard."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return document_uses(*mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[:2])
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -75,5 +91,5 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p5_found, p5_parties, p8_found, p8_spans, p8_cleaned, p10_found, p10_classes, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p5_found, p5_parties, p8_found, p8_spans, p8_cleaned, p9_mix, p9_slots, p9_documents, p10_found, p10_classes, p10_forms)}
 SQL: dict[str, str] = {}
