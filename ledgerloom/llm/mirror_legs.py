@@ -69,7 +69,10 @@ def _legs(df: DataFrame) -> DataFrame:
         (amount > 0).alias("debit"), F.abs(amount).alias("amount"), F.col("date").cast("date").alias("date"), F.col("description").alias("description"),
         F.when(F.col("doc_id").isNotNull(), F.regexp_extract("doc_id", r"(\d+)$", 1)).alias("number"), F.floor(step).cast("long").alias("step"), F.array_join(F.array_sort(F.split(F.abs(amount).cast("string"), "")), "").alias("digits"),
     )
-    return describe(legs).drop("description")
+    legs = describe(legs).drop("description")
+    # A number that some leg of the other side cites makes its leg unlike others.
+    calls = legs.where("cited is not null").select("pair", (~F.col("debit")).alias("debit"), F.col("cited").alias("number"), F.col("cited").alias("called")).distinct()
+    return legs.join(calls, ["pair", "debit", "number"], "left")
 
 
 @dataclass(frozen=True)
@@ -101,7 +104,7 @@ def _ranked(legs: DataFrame, turn: int) -> DataFrame:
 
     A set of over HOT such legs is numbered within salts, others in another turn; what that leaves open is left to the next rule.
     """
-    keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited"]
+    keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited", "called"]
     digest = legs.withColumn("alike", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
     hot = digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike", F.lit(True).alias("hot"))
     salted = digest.join(hot, "alike", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("leg_id", F.lit(turn)), F.lit(SALTS))).otherwise(F.lit(0)))
