@@ -72,7 +72,7 @@ def vendor_key(c: Column) -> Column:
 
 
 #: Words that carry no meaning in transaction descriptions.
-STOP_WORDS = ("the", "and", "for", "from", "with", "inc", "llc", "ltd", "corp", "payment", "deposit", "check", "transfer", "ach", "wire", "debit", "credit")
+STOP_WORDS = ("the", "and", "for", "inc", "llc", "ltd", "co", "corp", "company", "payment", "pmt", "ach", "deposit", "withdrawal", "transfer", "debit", "credit", "check", "chk", "ref", "no", "id", "to", "from", "of", "on", "trn", "des", "ppd", "ccd")
 
 
 def tokens(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
