@@ -53,7 +53,7 @@ def first_record(df: DataFrame, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(1)
 
 
-def content_hash(df: DataFrame, *columns: str) -> Column:
+def content_hash(*columns: str) -> Column:
     """First 16 hex digits of the SHA-256 of the columns' texts."""
     return F.substring(F.sha2(F.concat_ws("\u001f", *columns), 256), 1, 16)
 
