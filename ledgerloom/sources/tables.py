@@ -68,10 +68,10 @@ def template(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def write_tabs(tables: dict[str, DataFrame], folder: str, kind: str = "parquet", status: str = "") -> dict[str, str]:
-    """Every table as a folder of its own, named with the status; the paths by name."""
+    """Every table as a folder of its own, named with the status (``[DOES NOT TIE]`` becomes ``.DOES_NOT_TIE``); the paths by name."""
     paths = {}
     for name, df in tables.items():
-        paths[name] = f"{folder}/{name}{' ' + status if status else ''}"
+        paths[name] = f"{folder}/{name}" + (f".{status.strip('[]').replace(' ', '_')}" if status else "")
         writer = df.write.mode("overwrite")
         (writer.option("header", True).csv(paths[name]) if kind == "csv" else writer.format(kind).save(paths[name]))
     return paths
