@@ -102,7 +102,24 @@ up AS (SELECT n, n AS node, 0 AS d, [n] AS trail, false AS ring FROM nodes
 tops AS (SELECT n, node, d, trail FROM up WHERE NOT ring AND node NOT IN (SELECT c FROM links)),
 rings AS (SELECT n, list_min(trail[list_position(trail, node):]) AS least FROM up WHERE ring)"""
 
+_FIELD = '(?:"(?:[^"]|"")*"|[^",\\n\\r][^,\\n\\r]*|)'
+_COUNTS = {"entries": 13, "invoices": 11, "aging": 9}
+_AT = {"entries": (6, 7), "invoices": (8,), "aging": (5,)}
+_MONEY = f"(?i)\\s*(?:-|--|n/a|(?:-\\s*\\$?|\\$?\\s*-?)\\s*(?:{_NUM})|\\$?\\s*(?:{_NUM})\\s*-|\\(\\s*\\$?\\s*(?:{_NUM})\\s*\\))?\\s*"
+
+
+def _rejects_sql() -> str:
+    def value(k: int) -> str:
+        return f"regexp_replace(regexp_extract(raw_text, '^(?:{_FIELD},){{{k}}}({_FIELD})', 1), '^\"|\"$', '', 'g')"
+
+    count = " OR ".join(f"feed = '{f}' AND NOT regexp_full_match(raw_text, '{_FIELD}(?:,{_FIELD}){{{n - 1}}}')" for f, n in _COUNTS.items())
+    wrong = " OR ".join(f"feed = '{f}' AND NOT regexp_full_match({value(k)}, '{_MONEY}')" for f, ks in _AT.items() for k in ks)
+    reason = f"CASE WHEN NOT regexp_full_match(raw_text, '{_FIELD}(?:,{_FIELD})*') THEN 'quoting' WHEN {count} THEN 'column_count' WHEN {wrong} THEN 'invalid_value' END"
+    return f"SELECT * FROM (SELECT line_id, {reason} AS reason FROM raw_lines) WHERE reason IS NOT NULL"
+
+
 SQL = {
+    "p7_found": _rejects_sql(),
     "p3_found": _diff_sql(),
     "p4_found": _TREE + " SELECT n AS field_id, node AS root_field_id, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, least, -1 FROM rings",
     "p4_paths": _TREE + " SELECT n AS field_id, array_to_string(list_reverse(trail), ' > ') AS path, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, NULL, -1 FROM rings",

@@ -212,7 +212,7 @@ def test_sources(spark, tmp_path):
     assert unique.count() == 1 and repeated.first().n == 2
     for kind in ("parquet", "csv", "json", "orc"):
         paths = sources.write_tabs({"tab": spark.range(3)}, str(tmp_path / kind), kind, "[INCOMPLETE]")
-        assert paths["tab"].endswith("tab.INCOMPLETE") and sources.read_any(spark, paths["tab"], kind, "id long").count() in (3, 4)
+        assert paths["tab"].endswith("tab.INCOMPLETE") and sources.read_any(spark, paths["tab"], kind, "id long", header="true").count() == 3
     assert sources.template(spark, "a int").columns == ["a"]
     assert sources.read_any(spark, str(f), "binary").count() == 1
 
