@@ -92,4 +92,15 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_records, p5_found, p5_parties, p8_found, p8_spans, p8_cleaned, p9_mix, p9_slots, p9_documents, p10_found, p10_classes, p10_forms)}
-SQL: dict[str, str] = {}
+
+
+def _copies_sql() -> str:
+    text = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
+    number = lambda c: f"coalesce(CASE WHEN contains(CAST({c} AS VARCHAR), '.') THEN regexp_replace(CAST({c} AS VARCHAR), '\\.?0+$', '') ELSE CAST({c} AS VARCHAR) END, '')"
+    amount = "CASE WHEN regexp_full_match(extended_amount, '[-\\s$(]*[0-9][0-9,]*(\\.[0-9]*)?[-)\\s]*') THEN (CASE WHEN regexp_matches(extended_amount, '[-(]') THEN -1 ELSE 1 END * CAST(regexp_replace(extended_amount, '[^0-9.]', '', 'g') AS DECIMAL(18,2)))::DECIMAL(18,2)::VARCHAR ELSE " + text("extended_amount") + " END"
+    fields = ", ".join([text(c) for c in INVOICE_TEXTS] + [number(c) for c in INVOICE_NUMBERS])
+    amount = f"CASE WHEN contains({amount}, '.') THEN regexp_replace({amount}, '\\.?0+$', '') ELSE {amount} END"
+    return f"WITH c AS (SELECT row_id, list_sort([{fields}, {amount}]) AS k FROM invoices), f AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS first_row_id FROM c) SELECT first_row_id, row_id AS copy_row_id FROM f WHERE row_id <> first_row_id"
+
+
+SQL = {"p2_found": _copies_sql()}
