@@ -106,8 +106,9 @@ def _ranked(legs: DataFrame, turn: int) -> DataFrame:
     """
     keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited", "called"]
     digest = legs.withColumn("alike", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    # At most one set for each HOT rows.
     hot = digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike", F.lit(True).alias("hot"))
-    salted = digest.join(hot, "alike", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("leg_id", F.lit(turn)), F.lit(SALTS))).otherwise(F.lit(0)))
+    salted = digest.join(F.broadcast(hot), "alike", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("leg_id", F.lit(turn)), F.lit(SALTS))).otherwise(F.lit(0)))
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("alike", "salt").orderBy("date", "leg_id")))
     return ranked.drop("hot", "alike")
 
