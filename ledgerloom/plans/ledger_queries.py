@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -13,8 +14,9 @@ from ledgerloom.operators import aggregates, joins, predicates, windows
 from ledgerloom.operators.formula import formula
 from ledgerloom.operators.matching import allocate, match_ledgers
 from ledgerloom.operators.sampling import monetary_sample, random_sample, sampling_interval, stratified_sample
-from ledgerloom.runtime import table
+from ledgerloom.runtime import shared_dir, table
 from ledgerloom.sources import tables as sources
+from ledgerloom.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -619,3 +621,37 @@ def sample_strata(spark, sf_dir):
 def sample_bands(spark, sf_dir):
     band = F.when(F.col("amount") < 100000, "a").when(F.col("amount") < 300000, "b").otherwise("c")
     return orders(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"), cents(F.sum("amount")).alias("total"))
+
+
+# ---- streams
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _places(spark: SparkSession) -> tuple[str, str]:
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{folder}/checkpoint", f"{folder}/out"
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, sf_dir):
+    """Hourly counts of a stream of events, run over what is there."""
+    stream = streams.windowed(event_stream(spark, sf_dir).withColumn("value", cents("value")), "ts", "event_type", "value")
+    return streams.latest(spark, stream, *_places(spark)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", cents("total").alias("total"))
+
+
+@query("WITH s AS (SELECT to_timestamp(floor(epoch(ts) / 1800) * 1800 - k * 1800)::TIMESTAMP AS start, user_id FROM events, (VALUES (0), (1)) t(k)) SELECT start, user_id, count(*) AS n FROM s GROUP BY 1, 2")
+def stream_sliding(spark, sf_dir):
+    """Counts by user in windows of an hour that begin every half hour."""
+    stream = streams.windowed(event_stream(spark, sf_dir).withColumn("value", cents("value")), "ts", "user_id", "value", "1 hour", "30 minutes")
+    return streams.latest(spark, stream, *_places(spark)).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM events), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sess FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sess")
+def stream_sessions(spark, sf_dir):
+    """Sessions of users, which break after half an hour."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(rows, "ts", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

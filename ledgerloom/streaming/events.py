@@ -27,3 +27,13 @@ def run_to_end(spark: SparkSession, stream: DataFrame, checkpoint: str, out: str
     """Run a stream over what is there, to files, and read them."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).option("path", out).format("parquet").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def latest(spark: SparkSession, stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Run an aggregated stream over what is there and read its whole last state, with the windows that are still open."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
