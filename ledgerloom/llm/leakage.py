@@ -18,23 +18,25 @@ PASSAGES = 2
 BLOCK = 2_000
 
 _MARKS = re.compile(r"[̀-ͯ]")
-_HYPHEN = re.compile(r"(\w)-[ \t]*\r?\n[ \t]*(?:>+[ \t]*)*(\w)")
 _SPACE = re.compile(r"\S+")
 _OTHER = re.compile(r"[\W_]+")
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end) of a text: look-alikes, case, punctuation and layout make no difference. Places are in the text."""
-    out = []
+    out, broken, line_end = [], False, 0
     for m in _SPACE.finditer(text):
-        w = m[0] if m[0].isascii() else _MARKS.sub("", look(m[0]))
+        raw = m[0]
+        w = raw if raw.isascii() else _MARKS.sub("", look(raw))
         w = _OTHER.sub("", w).lower()
+        if broken and not raw.strip(">"):
+            continue  # a mark of quotation before the rest of a word
         if w:
-            out.append((w, m.start(), m.end()))
-    for m in _HYPHEN.finditer(text):  # a word broken at a line's end is one word
-        k = next((i for i, (_, s, e) in enumerate(out) if s <= m.start(1) < e), None)
-        if k is not None and k + 1 < len(out):
-            out[k : k + 2] = [(out[k][0] + out[k + 1][0], out[k][1], out[k + 1][2])]
+            if broken and raw[0].isalnum() and "\n" in text[line_end : m.start()]:  # a word broken at a line's end is one word
+                out[-1] = (out[-1][0] + w, out[-1][1], m.end())
+            else:
+                out.append((w, m.start(), m.end()))
+        broken, line_end = bool(w) and raw[-1] == "-" and raw[-2].isalnum(), m.end()
     return out
 
 
@@ -128,24 +130,36 @@ def passages(runs: list[tuple[int, int, int]], gap: int = GAP, most: int = PASSA
     ``runs`` are (item start, document start, length). Runs form one passage if they follow each other in both texts with at
     most ``gap`` words between; a few changed or missing words don't break it.
     """
-    runs = sorted(set(runs))
+    runs = sorted(set(runs), key=lambda r: (r[1], r[0]))
+    longest = max((n for _, _, n in runs), default=0)
     chains = []  # best chain ending in each run: words, first item word, last item word + 1, document span
-    for i0, d0, n in runs:
+    for k, (i0, d0, n) in enumerate(runs):
         best = (n, i0, i0 + n, d0, d0 + n)
-        for words_, first, i1, s, d1 in chains:
+        j = k - 1
+        while j >= 0 and runs[j][1] >= d0 - longest - gap:  # those that can end near enough
+            words_, first, i1, s, d1 = chains[j]
             cut = max(i1 - i0, d1 - d0, 0)  # the part that overlaps counts once
-            if cut < n and -gap <= i1 - i0 and -gap <= d1 - d0 and i0 + n > i1 and d0 + n > d1 and i1 - i0 <= n and d1 - d0 <= n and words_ + n - cut > best[0]:
+            if cut < n and -gap <= i1 - i0 and -gap <= d1 - d0 and i0 + n > i1 and d0 + n > d1 and words_ + n - cut > best[0]:
                 best = (words_ + n - cut, first, i0 + n, s, d0 + n)
+            j -= 1
         chains.append(best)
-    chains.sort(key=lambda c: -c[0])
     if not chains:
         return 0, []
-    total, spans = chains[0][0], [chains[0][3:]]
+    top = max(chains, key=lambda c: c[0])
+    total, spans = top[0], [top[3:]]
     if most > 1:
-        for a in chains[:20]:
-            for b in chains[:20]:
-                if a[2] <= b[1] and a[4] <= b[3] and a[0] + b[0] > total:
-                    total, spans = a[0] + b[0], [a[3:], b[3:]]
+        # Chains by where they begin; before each, those that end no later than it begins, the best by the item word they end at.
+        ended: dict[int, tuple] = {}
+        by_end, at = sorted(chains, key=lambda c: c[4]), 0
+        for b in sorted(chains, key=lambda c: c[3]):
+            while at < len(by_end) and by_end[at][4] <= b[3]:
+                a = by_end[at]
+                if a[0] > ended.get(a[2], (0,))[0]:
+                    ended[a[2]] = a
+                at += 1
+            first = max((a for i, a in ended.items() if i <= b[1]), key=lambda a: a[0], default=None)
+            if first and first[0] + b[0] > total:
+                total, spans = first[0] + b[0], [first[3:], b[3:]]
     return total, spans
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.duplicates import collapse, copies
 from ledgerloom.llm.leakage import cleaned, leaks
-from ledgerloom.llm.lookalikes import consistent, look_pairs, same_look
+from ledgerloom.llm.lookalikes import CYRILLIC, GREEK, consistent, look_pairs, same_look
 from ledgerloom.llm.mirror_legs import match_legs
 from ledgerloom.llm.mixing import document_uses, mix
 from ledgerloom.llm.names import parties, spelling_pairs
@@ -103,4 +103,20 @@ def _copies_sql() -> str:
     return f"WITH c AS (SELECT row_id, list_sort([{fields}, {amount}]) AS k FROM invoices), f AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS first_row_id FROM c) SELECT first_row_id, row_id AS copy_row_id FROM f WHERE row_id <> first_row_id"
 
 
-SQL = {"p2_found": _copies_sql()}
+def _looks_sql() -> str:
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    tables = [(wide, "".join(chr(ord(c) - 0xFEE0) for c in wide)), CYRILLIC, GREEK]
+    form = "regexp_replace(text, '[\\x{00AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g')"
+    form = f"regexp_replace({form}, '[\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')"
+    for joined, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+        form = f"replace({form}, '{joined}', '{letters}')"
+    for a, b in tables:
+        form = f"translate({form}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return f"WITH f AS (SELECT doc_id, text, nfc_normalize({form}) AS form FROM documents WHERE trim(text) <> '') SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id"
+
+
+def _records_sql() -> str:
+    return _copies_sql().partition(" SELECT first_row_id")[0] + " SELECT first_row_id, count(*) AS copies FROM f GROUP BY 1"
+
+
+SQL = {"p2_found": _copies_sql(), "p2_records": _records_sql(), "p10_found": _looks_sql()}

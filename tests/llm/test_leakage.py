@@ -52,3 +52,16 @@ def test_passages_and_words():
     assert passages([(0, 10, 5), (6, 16, 5)])[0] == 10 and passages([(0, 50, 5), (10, 10, 5)])[0] == 5 and passages([(0, 0, 5), (20, 90, 6)])[0] == 11
     assert passages([]) == (0, [])
     assert [w for w, _, _ in words("Co-\n> operate, “Now”! 1,000")] == ["cooperate", "now", "1000"]
+
+
+def test_many_occurrences_in_one_text(spark):
+    d = docs(spark, [(ITEM + " filler ") * 2000])
+    assert [(r.doc_id, r.coverage) for r in leaks(d, items(spark, [ITEM])).collect()] == [(0, 1.0)]
+
+
+def test_two_passages_against_all_pairs():
+    r = random.Random(6)
+    for _ in range(300):
+        runs = [(r.randrange(0, 60, 9), 40 * k, r.randrange(4, 9)) for k in range(r.randrange(1, 6))]
+        want = max([n for _, _, n in runs] + [x[2] + y[2] for x in runs for y in runs if x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1]])
+        assert passages(runs)[0] == want
