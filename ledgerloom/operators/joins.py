@@ -60,14 +60,28 @@ def tier_split(rows: DataFrame, group: str, order: list[str], amount: str, tiers
 def band_pairs(rows: DataFrame, row_id: str, keys: list[str], day: str, window: int) -> DataFrame:
     """(a, b, gap): pairs of rows with equal keys whose days are 0 to ``window`` apart, the smaller id first.
 
-    Days fall in buckets of the window's width, so rows meet only those of their own and the next bucket.
+    Days fall in buckets of the window's width, so rows meet only those of their own and the next bucket, each pair once.
+    Where many rows share a key and day, :func:`band_links` says the same without listing pairs. Row ids are unique.
     """
     base = rows.where(F.col(day).isNotNull()).select(row_id, *keys, F.col(day).alias("_d"), F.floor(F.unix_date(day) / (window + 1)).alias("_b"))
     a = base.withColumn("_b", F.explode(F.array("_b", F.col("_b") + 1))).select(F.col(row_id).alias("_x"), F.col("_d").alias("_dx"), "_b", *keys)
     pairs = a.join(base, [*keys, "_b"]).withColumn("gap", F.datediff("_d", "_dx"))
     # Rows of one bucket meet in both orders, those of neighbouring ones in the order of days.
     pairs = pairs.where((F.col("gap") > 0) & (F.col("gap") <= window) | (F.col("gap") == 0) & (F.col("_x") < F.col(row_id)))
-    return pairs.select(F.least("_x", row_id).alias("a"), F.greatest("_x", row_id).alias("b"), "gap").distinct()
+    return pairs.select(F.least("_x", row_id).alias("a"), F.greatest("_x", row_id).alias("b"), "gap")
+
+
+def band_links(rows: DataFrame, row_id: str, keys: list[str], day: str, window: int) -> DataFrame:
+    """(row_id, links, before): how many other rows of equal keys lie within ``window`` days, and the last of those before.
+
+    One row for each row with a link, however many rows share a key: a sort and two window frames, no pairs. Rows of one day
+    follow each other by id. Rows without a day have no links.
+    """
+    base = rows.where(F.col(day).isNotNull()).select(row_id, *keys, F.unix_date(day).alias("_d"))
+    near = Window.partitionBy(*keys).orderBy("_d").rangeBetween(-window, window)
+    order = Window.partitionBy(*keys).orderBy("_d", row_id)
+    before = F.when(F.col("_d") - F.lag("_d").over(order) <= window, F.lag(row_id).over(order))
+    return base.dropna(subset=keys).select(row_id, (F.count("*").over(near) - 1).alias("links"), before.alias("before")).where("links > 0")
 
 
 def rank_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:

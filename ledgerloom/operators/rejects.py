@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import BLANK_MONEY
+from ledgerloom.functions.money import BLANK_MONEY, money, whole
 
 #: The column order of the feeds and the columns that hold money.
 FEEDS = {
@@ -164,8 +164,6 @@ def load_lines(lines: DataFrame) -> DataFrame:
     """
     valid = parse_lines(lines).where("reason is null")
     names = list(dict.fromkeys(c for cols in FEEDS.values() for c in cols))
-    from ledgerloom.functions.money import money, whole
-
     amounts = {c for cols in MONEY.values() for c in cols} | {"amount_paid", "original_amount", "qty_billed", "unit_price"}
     out = [F.col("line_id"), F.col("feed")]
     for name in names:

@@ -34,7 +34,7 @@ def consumption(rows: DataFrame, keys: list[str], order: list[str], quantity: st
     return rows.withColumn("used", F.sum(quantity).over(running(keys, *order))).withColumn("over", F.coalesce(F.col("used") > F.col(limit), F.lit(False)))
 
 
-def monetary_hits(rows: DataFrame, row_id: str, value: str, interval: object, start: object, parts: int = 64) -> DataFrame:
+def monetary_hits(rows: DataFrame, row_id: str, value: str, interval: object, start: object, part: int = 200_000) -> DataFrame:
     """(row_id, value, basis, hits): systematic selection of monetary units from a start; items of an interval or more are all in.
 
     The line of units runs through the smaller items by id. Its running sum is taken within ranges of ids on top of the sums
@@ -43,13 +43,13 @@ def monetary_hits(rows: DataFrame, row_id: str, value: str, interval: object, st
     base = rows.where(F.col(value) > 0).select(row_id, value)
     top = base.where(F.col(value) >= F.lit(interval)).select(row_id, value, F.lit("top").alias("basis"), F.lit(1).cast("long").alias("hits"))
     low = base.where(F.col(value) < F.lit(interval))
-    bounds = low.agg(F.min(row_id), F.max(row_id)).first()
+    bounds = low.agg(F.min(row_id), F.max(row_id), F.count("*")).first()
     lo, hi = bounds[0] or 0, bounds[1] or 0
-    width = max(1, -(-(hi - lo + 1) // parts))
+    width = max(1, -(-(hi - lo + 1) * part // max(1, bounds[2])))  # ``part`` rows in the mean
     ranged = low.withColumn("_r", F.floor((F.col(row_id) - lo) / width))
     sums = ranged.groupBy("_r").agg(F.sum(value).alias("_s"))
-    offset = sums.select("_r", F.coalesce(F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # at most ``parts`` rows
-    line = ranged.join(F.broadcast(offset), "_r").withColumn("_end", F.col("_o") + F.sum(value).over(running("_r", row_id)))
+    offset = sums.select("_r", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))  # a row for each range
+    line = ranged.join(offset, "_r").withColumn("_end", F.col("_o") + F.sum(value).over(running("_r", row_id)))
     reached = lambda c: F.floor((c - F.lit(start)) / F.lit(interval)) + 1
     upto, before = F.greatest(F.lit(0), reached(F.col("_end"))), F.greatest(F.lit(0), reached(F.col("_end") - F.col(value)))
     before = F.when(F.col("_end") == F.col(value), F.lit(0)).otherwise(before)  # a start of zero falls on the first item

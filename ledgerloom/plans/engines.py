@@ -67,7 +67,7 @@ def three_way_match(invoices: DataFrame, orders: DataFrame, receipts: DataFrame,
     }
     flags = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in tests.items()]), lambda x: x.isNotNull())
     lines = stored(j.select("row_id", "po_row", flags.alias("outcomes")), "three_way")
-    n = lines.agg(F.count("*").alias("n"), F.count_if(F.size("outcomes") == 0).alias("clean")).crossJoin(invoices.agg(F.count("*").alias("all")))  # one row each
+    n = lines.agg(F.count("*").alias("n"), F.count_if(F.size("outcomes") == 0).alias("clean")).withColumn("all", invoices.agg(F.count("*")).scalar())
     proof = gates(invoices.sparkSession, [("every line has one disposition", n, F.col("all") - F.col("n"), F.col("all") == F.col("n")), ("no line appears twice", same_rows(lines.select("row_id"), lines.select("row_id").distinct()), F.col("missing"), F.col("missing") == 0)])
     unbilled = got.join(invoices.where("po_no is not null").groupBy("po_no", "po_line").agg(F.sum("qty_billed").alias("billed")), ["po_no", "po_line"], "left").withColumn("open", F.col("received") - F.coalesce("billed", F.lit(0))).where("open > 0")
     return Result({"lines": lines, "received_not_billed": unbilled.select("po_no", "po_line", cents("open").alias("open"))}, proof)
@@ -77,8 +77,8 @@ def journal_flags(lines: DataFrame, thresholds: list[Decimal] | None = None) ->
     """Entries with the tests they raise and the sum of the tests' weights: built from predicates on entries and three grouped sets."""
     thresholds = thresholds or [D(5000), D(10000), D(50000)]
     head = aggregates.entry_headers(lines)
-    n = head.agg(F.greatest(F.lit(2), F.floor(F.count("*") * 0.005)).alias("rare"))  # one row
-    rare = lines.groupBy("account").agg(F.count_distinct("entry_id").alias("uses")).crossJoin(F.broadcast(n)).where("uses <= rare").select("account")
+    most = lines.agg(F.greatest(F.lit(2), F.floor(F.count_distinct("entry_id") * 0.005))).scalar()
+    rare = lines.groupBy("account").agg(F.count_distinct("entry_id").alias("uses")).where(F.col("uses") <= most).select("account")
     with_rare = lines.join(rare, "account", "left_semi").select("entry_id").distinct().withColumn("is_rare", F.lit(True))
     amounts = lines.withColumn("a", F.coalesce(F.when(F.col("debit") != 0, F.col("debit")), F.col("credit"))).where("a != 0 and effective_date is not null").select("entry_id", "account", "a", "effective_date").distinct()
     twice = amounts.groupBy("account", "a", "effective_date").agg(F.count("*").alias("n")).where("n > 1")
@@ -104,7 +104,8 @@ def aging_tie(rows: DataFrame, as_of: str, bounds: tuple[int, ...] = (30, 60, 90
     by_customer = items.groupBy("customer").agg(
         F.count("*").alias("items"), cents(F.sum(F.when(F.col("open_balance") >= 0, F.col("open_balance")))).alias("debits"), cents(F.sum(F.when(F.col("open_balance") < 0, F.col("open_balance")))).alias("credits"), cents(F.sum("open_balance")).alias("net"), F.max(F.when(F.col("open_balance") > 0, F.col("days"))).alias("oldest_days"),
     )
-    total = rows.agg(cents(F.sum("open_balance")).alias("t")).crossJoin(by_customer.agg(cents(F.sum("net")).alias("c"))).crossJoin(items.agg(F.count_if(F.col("reported_bucket").isNotNull() & (F.col("bucket") != "none") & (F.lower(F.trim("reported_bucket")) != F.lower("bucket"))).alias("wrong"), F.count_if(F.col("days").isNull()).alias("undated")))  # one row each
+    differs = F.col("reported_bucket").isNotNull() & (F.col("bucket") != "none") & (F.lower(F.trim("reported_bucket")) != F.lower("bucket"))
+    total = items.agg(cents(F.sum("open_balance")).alias("t"), F.count_if(differs).alias("wrong"), F.count_if(F.col("days").isNull()).alias("undated")).withColumn("c", by_customer.agg(cents(F.sum("net"))).scalar())
     proof = gates(rows.sparkSession, [
         ("customers add up to the aging", total, F.col("t") - F.col("c"), F.col("t") == F.col("c")),
         ("the aging ties to the ledger", total, (F.col("t") - F.lit(general_ledger)) if general_ledger is not None else None, (F.col("t") == F.lit(general_ledger)) if general_ledger is not None else F.lit(None).cast("boolean")),

@@ -88,6 +88,12 @@ def src_content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sources.content_hash("text", "lang").alias("hash"))
 
 
+@query("SELECT doc_id, length(trim(coalesce(text, ''))) < 60 AS scanned FROM documents")
+def src_scanned_pages(spark, sf_dir):
+    """Pages whose extracted text is too short to be more than a scan."""
+    return table(spark, sf_dir, "documents").select("doc_id", (F.length(F.trim(F.coalesce("text", F.lit("")))) < 60).alias("scanned"))
+
+
 @query("SELECT 'RGN' || lpad(CAST(row_number() OVER (ORDER BY r_name) AS VARCHAR), 4, '0') AS id, r_name FROM region")
 def fn_surrogate_keys(spark, sf_dir):
     return table(spark, sf_dir, "region").select(sources.surrogate("RGN", 4, "r_name").alias("id"), "r_name")
@@ -296,6 +302,13 @@ def join_date_band(spark, sf_dir):
     return joins.band_pairs(rows, "line_id", ["account", "amount"], "day", 7)
 
 
+@query(f"WITH l AS ({_L}), p AS (SELECT a.line_id, count(*) AS links FROM l a JOIN l b ON a.account = b.account AND a.amount = b.amount AND a.line_id <> b.line_id AND abs(date_diff('day', a.d, b.d)) <= 7 GROUP BY 1) SELECT * FROM p")
+def join_date_links(spark, sf_dir):
+    """Each line with the number of lines of its account and amount within a week."""
+    rows = lines(spark, sf_dir).where(F.col("effective_date").rlike(r"^\d{4}-\d\d-\d\d$")).select("line_id", "account", F.coalesce("debit", "credit").alias("amount"), F.col("effective_date").try_cast("date").alias("day")).where("amount > 0")
+    return joins.band_links(rows, "line_id", ["account", "amount"], "day", 7).select("line_id", "links")
+
+
 _LEG = "SELECT leg_id, entity AS e, counterparty AS c, \"date\" AS d, amount, row_number() OVER (PARTITION BY entity, counterparty, \"date\", amount ORDER BY leg_id) AS n FROM ic_transactions"
 
 
@@ -576,6 +589,18 @@ def set_keys(spark, sf_dir):
     return count(a.intersect(b), "both").unionAll(count(a.subtract(b), "only_a")).unionAll(count(b.subtract(a), "only_b"))
 
 
+@query("SELECT po_no, po_line, min(row_id) AS row_id FROM pos GROUP BY ALL")
+def set_first_of_each_key(spark, sf_dir):
+    """The first row of each order line."""
+    return table(spark, sf_dir, "pos").groupBy("po_no", "po_line").agg(F.min("row_id").alias("row_id"))
+
+
+@query()
+def agg_approximate(spark, sf_dir):
+    """Approximate distinct counts and quantiles."""
+    return lines(spark, sf_dir).groupBy("account").agg(F.approx_count_distinct("entry_id").alias("entries"), F.approx_percentile(F.coalesce("debit", "credit"), 0.5).alias("median"))
+
+
 @query("SELECT count(*) AS missing FROM (SELECT po_no, po_line, item FROM pos EXCEPT ALL SELECT po_no, po_line, item FROM po_receipts)")
 def set_multiset(spark, sf_dir):
     """Rows of one table that another lacks, counted as a multiset."""

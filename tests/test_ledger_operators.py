@@ -119,6 +119,9 @@ def test_joins(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] and b[2] and abs((a[2] - b[2]).days) <= 3}
     got = [(x.a, x.b) for x in pairs.collect()]
     assert set(got) == want and len(got) == len(want)
+    links = {x.id: (x.links, x.before) for x in joins.band_links(spark.createDataFrame(rows, "id long, k string, d date"), "id", ["k"], "d", 3).collect()}
+    assert {i: n for i, (n, _) in links.items()} == {i: sum(i in p for p in want) for i in {x for p in want for x in p}}
+    assert all(b is None or (min(i, b), max(i, b)) in want for i, (_, b) in links.items())
     assert joins.checked_broadcast(left, 2).count() == 4
     spans = joins.tier_split(spark.createDataFrame([("g", 1, D(60)), ("g", 2, D(80))], "g string, i int, a decimal(18,2)"), "g", ["i"], "a", [(D(0), D(100), D(1)), (D(100), None, D(2))])
     assert [(x.i, x.tier, x.portion) for x in spans.orderBy("i", "tier").collect()] == [(1, 1, D(60)), (2, 1, D(40)), (2, 2, D(40))]
@@ -155,7 +158,7 @@ def test_monetary_units_against_a_walk(spark, start):
             while hit <= cum:
                 want[i] = want.get(i, 0) + 1
                 hit += 10
-    got = windows.monetary_hits(spark.createDataFrame(rows, "id long, v decimal(18,2)"), "id", "v", D(10), D(start), parts=7)
+    got = windows.monetary_hits(spark.createDataFrame(rows, "id long, v decimal(18,2)"), "id", "v", D(10), D(start), part=30)
     assert {x.id: x.hits for x in got.collect()} == want
 
 
