@@ -283,3 +283,87 @@ def eng_translation(spark, sf_dir):
     currency = F.when(F.expr("right(entity, 1)").cast("int") % 2 == 0, "EUR").otherwise("USD")
     b = ic.groupBy("entity", kind.alias("kind"), currency.alias("currency")).agg(cents(F.sum("amount")).alias("net"))
     return translate(b, {"EUR": (D("1.1000"), D("1.0500")), "USD": (D("1.0000"), D("1.0000"))}, ("asset",))
+
+
+# ---- schedules and statements
+
+
+def deferral_waterfall(rows: DataFrame, row_id: str, amount: str, invoiced: str, start: str, end: str, period: tuple[str, str]) -> DataFrame:
+    """(row_id, beginning, additions, recognised, ending): straight-line by days, both ends included, to the cent.
+
+    Contracts invoiced after the period, without dates or amount, or that end before they begin are left out.
+    """
+    first, last = F.lit(period[0]).cast("date"), F.lit(period[1]).cast("date")
+    total = F.datediff(end, start) + 1
+    share = lambda a, b: F.round(F.col(amount) * F.greatest(F.lit(0), F.datediff(F.least(F.col(end), b), F.greatest(F.col(start), a)) + 1) / total, 2)
+    ok = rows.where(F.col(amount).isNotNull() & (F.col(start) <= F.col(end)) & (F.col(invoiced) <= last))
+    before = F.col(invoiced) < first
+    earned_before = share(F.lit("0001-01-01").cast("date"), F.date_sub(first, 1))
+    parts = ok.select(row_id, cents(F.when(before, F.col(amount) - earned_before).otherwise(0)).alias("beginning"), cents(F.when(before, 0).otherwise(F.col(amount))).alias("additions"), cents(F.when(before, share(first, last)).otherwise(earned_before + share(first, last))).alias("recognised"))
+    return parts.withColumn("ending", cents(F.col("beginning") + F.col("additions") - F.col("recognised")))
+
+
+def straight_line(rows: DataFrame, row_id: str, cost: str, life: str, in_service: str, prior: str, year: int) -> DataFrame:
+    """(row_id, expected): a year's depreciation, half in the first year and no more than what remains; null without a life."""
+    annual = F.when(F.col(life) > 0, F.col(cost) / F.when(F.year(in_service) == year, F.col(life) * 2).otherwise(F.col(life)))
+    left = F.greatest(F.lit(0), F.col(cost) - F.coalesce(prior, F.lit(0)))
+    return rows.select(row_id, F.when(annual.isNotNull(), cents(F.least(F.bround(annual, 2), left))).alias("expected"))
+
+
+def split_claims(rows: DataFrame, keys: list[str], amount: str, limit: Decimal) -> DataFrame:
+    """(keys, n, total): several amounts below a limit that pass it together."""
+    small = rows.dropna(subset=keys).where(F.col(amount) < F.lit(limit))
+    return small.groupBy(*keys).agg(F.count("*").alias("n"), cents(F.sum(amount)).alias("total")).where((F.col("n") > 1) & (F.col("total") > F.lit(limit)))
+
+
+def statement_recon(statement: DataFrame, ledger: DataFrame, keys: list[str], tolerance: Decimal = D("0.01")) -> DataFrame:
+    """(keys, stated, booked, state): each reference of either side as matched, disputed, missing in the ledger or not on the statement."""
+    s = statement.groupBy(*keys).agg(cents(F.sum("amount")).alias("stated"))
+    b = ledger.groupBy(*keys).agg(cents(F.sum("amount")).alias("booked"))
+    state = F.when(F.col("booked").isNull(), "missing in ledger").when(F.col("stated").isNull(), "not on statement").when(F.abs(F.col("stated") - F.col("booked")) <= F.lit(tolerance), "matched").otherwise("disputed")
+    return s.join(b, keys, "full_outer").withColumn("state", state)
+
+
+_DAYS_IN = "greatest(0, date_diff('day', greatest(s, {0}), least(e, {1})) + 1)"
+_PART = "CAST((2 * a * {0} + t) // (2 * t) AS BIGINT)"
+
+
+@query(f"""WITH c AS (SELECT row_id, CAST(original_amount * 100 AS BIGINT) AS a, CAST(invoice_date AS DATE) AS s, CAST(due_date AS DATE) AS e, date_diff('day', invoice_date, due_date) + 1 AS t FROM aging WHERE original_amount > 0 AND invoice_date <= due_date AND invoice_date <= DATE '2025-06-30'),
+d AS (SELECT row_id, a, s < DATE '2025-04-01' AS b, {_PART.format(_DAYS_IN.format("DATE '0001-01-01'", "DATE '2025-03-31'"))} AS e0, {_PART.format(_DAYS_IN.format("DATE '2025-04-01'", "DATE '2025-06-30'"))} AS e1 FROM c),
+f AS (SELECT row_id, CASE WHEN b THEN a - e0 ELSE 0 END AS o, CASE WHEN b THEN 0 ELSE a END AS n, CASE WHEN b THEN e1 ELSE e0 + e1 END AS r FROM d)
+SELECT row_id, CAST(o / 100.0 AS DECIMAL(18,2)) AS beginning, CAST(n / 100.0 AS DECIMAL(18,2)) AS additions, CAST(r / 100.0 AS DECIMAL(18,2)) AS recognised, CAST((o + n - r) / 100.0 AS DECIMAL(18,2)) AS ending FROM f""")
+def eng_deferral_waterfall(spark, sf_dir):
+    """Amounts recognised by days over a quarter, with what is deferred before and after."""
+    a = table(spark, sf_dir, "aging").where("original_amount > 0").select("row_id", "original_amount", F.col("invoice_date").cast("date").alias("invoice_date"), F.col("due_date").cast("date").alias("due_date"))
+    return deferral_waterfall(a, "row_id", "original_amount", "invoice_date", "invoice_date", "due_date", ("2025-04-01", "2025-06-30"))
+
+
+@query("""WITH c AS (SELECT row_id, CAST(round(qty_ordered * unit_price, 2) AS DECIMAL(18,2)) AS cost, CAST(row_id % 5 + 3 AS INTEGER) * CASE WHEN year(po_date) = 2025 THEN 2 ELSE 1 END AS life FROM pos WHERE po_date IS NOT NULL AND qty_ordered * unit_price IS NOT NULL), r AS (SELECT row_id, CAST(cost * 100 AS BIGINT) AS a, life FROM c),
+q AS (SELECT row_id, a // life AS w, a % life AS m, life FROM r) SELECT row_id, CAST((w + CASE WHEN 2 * m > life OR (2 * m = life AND w % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS DECIMAL(18,2)) AS expected FROM q""")
+def eng_straight_line(spark, sf_dir):
+    """A year's straight-line depreciation, half of it in the first year."""
+    p = table(spark, sf_dir, "pos").where("po_date is not null").select("row_id", cents(F.round(F.col("qty_ordered") * F.col("unit_price"), 2)).alias("cost"), (F.col("row_id") % 5 + 3).cast("int").alias("life"), F.col("po_date").cast("date").alias("since"), F.lit(0).cast("decimal(18,2)").alias("prior")).where("cost is not null")
+    return straight_line(p, "row_id", "cost", "life", "since", "prior", 2025)
+
+
+@query("SELECT posted_by, account, effective_date, count(*) AS n, CAST(sum(debit) AS DECIMAL(18,2)) AS total FROM je_entries WHERE debit < 5000 AND posted_by IS NOT NULL AND effective_date IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1 AND sum(debit) > 5000")
+def eng_split_claims(spark, sf_dir):
+    """Debits of one user, account and day that pass a limit only together."""
+    return split_claims(table(spark, sf_dir, "je_entries").where("debit is not null"), ["posted_by", "account", "effective_date"], "debit", D(5000))
+
+
+@query("""WITH s AS (SELECT po_no, CAST(sum(amount_paid) AS DECIMAL(18,2)) AS stated FROM invoices WHERE po_no IS NOT NULL AND amount_paid IS NOT NULL GROUP BY 1), b AS (SELECT po_no, CAST(sum(CAST(round(qty_ordered * unit_price, 2) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS booked FROM pos WHERE po_no IS NOT NULL GROUP BY 1)
+SELECT po_no, stated, booked, CASE WHEN booked IS NULL THEN 'missing in ledger' WHEN stated IS NULL THEN 'not on statement' WHEN abs(stated - booked) <= 0.01 THEN 'matched' ELSE 'disputed' END AS state FROM s FULL JOIN b USING (po_no)""")
+def eng_statement_recon(spark, sf_dir):
+    """Paid amounts against ordered amounts, reference by reference."""
+    s = table(spark, sf_dir, "invoices").where("po_no is not null and amount_paid is not null").select("po_no", F.col("amount_paid").alias("amount"))
+    b = table(spark, sf_dir, "pos").where("po_no is not null").select("po_no", cents(F.round(F.col("qty_ordered") * F.col("unit_price"), 2)).alias("amount"))
+    return statement_recon(s, b, ["po_no"])
+
+
+@query("""SELECT CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS base, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'F') AS DECIMAL(18,2)) AS part, CAST(floor(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus = 'F') * 10000 / sum(CAST(o_totalprice AS DECIMAL(18,2)))) AS BIGINT) AS rate FROM orders GROUP BY ROLLUP (quarter(o_orderdate))""")
+def eng_effective_rates(spark, sf_dir):
+    """Effective rates by quarter with a line for the total, in hundredths of a percent."""
+    o = table(spark, sf_dir, "orders").select(F.quarter("o_orderdate").alias("quarter"), cents("o_totalprice").alias("a"), "o_orderstatus")
+    r = o.rollup("quarter").agg(cents(F.sum("a")).alias("base"), cents(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("a")))).alias("part"))
+    return r.withColumn("rate", F.floor(F.col("part") * 10000 / F.col("base")))

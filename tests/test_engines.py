@@ -59,3 +59,22 @@ def test_legs_and_spread_add_up(spark):
     rows = spark.createDataFrame([(1, D("10.01"), "x"), (2, D("7.00"), "none"), (3, D("0.00"), "x")], "id long, a decimal(18,2), b string")
     out = engines.spread(rows, "id", "a", "b", [("x", 1, D("33.33")), ("x", 2, D("33.33"))])
     assert {(r.id, r.week): r.amount for r in out.collect()} == {(1, 1): D("3.34"), (1, 2): D("3.34"), (1, 0): D("3.33"), (2, 0): D("7.00")}
+
+
+def test_deferral_identity_and_bounds(spark):
+    rows = [(1, D("120.00"), day(-31), day(-31), day(28)), (2, D("60.00"), day(3), day(3), day(200)), (3, D("10.00"), day(40), day(40), day(50)), (4, None, day(0), day(0), day(1)), (5, D("5.00"), day(0), day(5), day(1)), (6, D("9.00"), day(-90), day(-90), day(-60))]
+    df = spark.createDataFrame(rows, "id long, a decimal(18,2), inv date, s date, e date")
+    out = {r.id: r for r in engines.deferral_waterfall(df, "id", "a", "inv", "s", "e", ("2025-03-01", "2025-03-31")).collect()}
+    assert set(out) == {1, 2, 6} and all(r.beginning + r.additions - r.recognised == r.ending for r in out.values())
+    assert (out[1].beginning, out[1].recognised, out[1].ending) == (D("58.00"), D("58.00"), D("0.00")) and out[6].beginning == 0 and out[2].additions == D("60.00")
+
+
+def test_straight_line_splits_and_statements(spark):
+    df = spark.createDataFrame([(1, D("100.00"), 4, day(0), D(0)), (2, D("100.00"), 4, day(-400), D("90.00")), (3, D("100.00"), 0, day(0), None)], "id long, c decimal(18,2), life int, since date, prior decimal(18,2)")
+    assert {r.id: r.expected for r in engines.straight_line(df, "id", "c", "life", "since", "prior", 2025).collect()} == {1: D("12.50"), 2: D("10.00"), 3: None}
+    claims = spark.createDataFrame([("u", "d", D(60)), ("u", "d", D(60)), ("v", "d", D(60)), ("v", "e", D(60)), (None, "d", D(99)), (None, "d", D(99)), ("w", "d", D(150)), ("w", "d", D(10))], "u string, d string, a decimal(18,2)")
+    assert [(r.u, r.n) for r in engines.split_claims(claims, ["u", "d"], "a", D(100)).collect()] == [("u", 2)]
+    a = spark.createDataFrame([("1", D(5)), ("2", D(5)), ("3", D("5.01"))], "k string, amount decimal(18,2)")
+    b = spark.createDataFrame([("1", D(2)), ("1", D(3)), ("3", D(6)), ("4", D(1))], "k string, amount decimal(18,2)")
+    assert {r.k: r.state for r in engines.statement_recon(a, b, ["k"]).collect()} == {"1": "matched", "2": "missing in ledger", "3": "disputed", "4": "not on statement"}
+    assert engines.statement_recon(a.where("false"), b.where("false"), ["k"]).count() == 0
