@@ -25,19 +25,17 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._stored_at = path
+    return kept
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables written by :func:`stored` that no later plan reads."""
+    """Delete tables written by :func:`stored`, once all that reads them has been written itself."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        root = shared_dir(df.sparkSession)
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if root.removeprefix("file://") in folder.toString():
-                folder.getFileSystem(conf).delete(folder, True)
+        if path := getattr(df, "_stored_at", None):
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
