@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import stored
+from ledgerloom.runtime import forget, stored
 
 DAYS = 14
 #: Largest difference of amounts: a share of the amount (charges deducted on the way) or a flat sum.
@@ -30,7 +30,7 @@ KINDS = {
     "freight": "freight|haulage",
     "management": "mgmt|mgt|management|head|office",
     "audit": "audit",
-    "it": "hosting|system|it",
+    "it": "hosting|system|it services|it cost",
     "tooling": "tooling|tool|tools",
     "staff": "payroll|seconded|secondee|staff",
     "research": "research|development|r&d",
@@ -171,8 +171,11 @@ def match_legs(df: DataFrame, cascade: tuple[Rule, ...] = CASCADE) -> DataFrame:
         chosen = stored(best_a.join(best_b, ["a", "b"]).join(cites, ["a", "b"]).select("a", "b", "cites", F.lit(True).alias("kept")).unionAll(missed.select("a", "b", F.lit(False), F.lit(False))).withColumn("rule", F.lit(rule.name)), "chosen")
         found.append(chosen)
         taken = chosen.where("kept").select(F.explode(F.array("a", "b")).alias("leg_id"))
+        forget(pairs)
         if turn < len(cascade) - 1:
-            pool = stored(pool.join(taken, "leg_id", "left_anti"), "pool")
+            rest = stored(pool.join(taken, "leg_id", "left_anti"), "pool")
+            forget(pool)
+            pool = rest
     every = found[0]
     for f in found[1:]:
         every = every.unionAll(f)
