@@ -17,8 +17,9 @@ from ledgerloom.runtime import forget, stored
 DAYS = 14
 #: Largest difference of amounts: a share of the amount (charges deducted on the way) or a flat sum.
 RATE, FLAT = 0.01, 60.0
+#: Ranges of ids of one set of alike legs that is numbered in parts.
 SALTS = 64
-#: Rows of one key from which on its ranks are taken within salts.
+#: Rows of one set from which on it is numbered in parts.
 HOT = 100_000
 
 #: Words of transfer descriptions by the kind of charge.
@@ -99,25 +100,29 @@ CASCADE = (
 )
 
 
-def _ranked(legs: DataFrame, turn: int) -> DataFrame:
+def _ranked(legs: DataFrame) -> DataFrame:
     """Legs that are alike in all a rule looks at get numbers, so that equal legs meet one by one and not all by all.
 
-    A set of over HOT such legs is numbered within salts, others in another turn; what that leaves open is left to the next rule.
+    A set of over HOT such legs is cut into ranges of ids, which are numbered each for itself and offset by the ranges before.
     """
     keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited", "called"]
     digest = legs.withColumn("alike", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
     # At most one set for each HOT rows.
-    hot = digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike", F.lit(True).alias("hot"))
-    salted = digest.join(F.broadcast(hot), "alike", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("leg_id", F.lit(turn)), F.lit(SALTS))).otherwise(F.lit(0)))
-    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("alike", "salt").orderBy("date", "leg_id")))
-    return ranked.drop("hot", "alike")
-
-
-def _candidates(pool: DataFrame, rule: Rule, turn: int) -> DataFrame:
-    legs = _ranked(pool, turn)
+    hot = digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike")
+    cuts = digest.join(F.broadcast(hot), "alike").groupBy("alike").agg(F.percentile_approx("leg_id", [i / SALTS for i in range(1, SALTS)]).alias("cuts"))
+    salted = digest.join(F.broadcast(cuts), "alike", "left").withColumn("salt", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("leg_id"))), F.lit(0)))
+    sizes = salted.where("cuts is not null").groupBy("alike", "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("alike").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("alike", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # SALTS rows for each hot set
+    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("alike", "salt").orderBy("leg_id")))
+    return ranked.join(F.broadcast(offsets), ["alike", "salt"], "left").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0))).drop("alike", "salt", "cuts", "offset")
+
+
+def _candidates(pool: DataFrame, rule: Rule) -> DataFrame:
+    legs = _ranked(pool)
     a = legs.where("debit").select(*[F.col(c).alias(f"a_{c}") for c in legs.columns])
     b = legs.where("not debit").select(*[F.col(c).alias(f"b_{c}") for c in legs.columns])
-    on = [F.col("a_pair") == F.col("b_pair"), F.col("a_nth") == F.col("b_nth"), F.col("a_salt") == F.col("b_salt")]
+    on = [F.col("a_pair") == F.col("b_pair"), F.col("a_nth") == F.col("b_nth")]
     around = lambda c: F.explode(F.array(c - 1, c, c + 1))
     if rule.days == 0:
         on.append(F.col("a_date") == F.col("b_date"))
@@ -161,7 +166,7 @@ def match_legs(df: DataFrame, cascade: tuple[Rule, ...] = CASCADE) -> DataFrame:
     pool = stored(_legs(df), "legs")
     found: list[DataFrame] = []
     for turn, rule in enumerate(cascade):
-        pairs = stored(_candidates(pool, rule, turn), "candidates")
+        pairs = stored(_candidates(pool, rule), "candidates")
         open_pairs = pairs.where("not wrong")
         best_a = open_pairs.groupBy("a").agg(F.min_by("b", "rank").alias("b"))
         best_b = open_pairs.groupBy("b").agg(F.min_by("a", "rank").alias("a"))

@@ -40,6 +40,15 @@ def test_equal_legs_are_paired_one_by_one(spark, monkeypatch):
     assert len({x for p in salted for x in p}) == 2 * len(salted) and len(salted) >= 45
 
 
+def test_hot_sets_are_paired_completely(spark, monkeypatch):
+    monkeypatch.setattr(mirror_legs, "HOT", 30)
+    monkeypatch.setattr(mirror_legs, "SALTS", 8)
+    a = [leg(i, "A", "B", None, 0, "treasury sweep", "10.00") for i in range(60)]
+    for n in (50, 20):  # the other side over HOT, too, and not
+        got = matched(spark, a + [leg(100 + i, "B", "A", None, 0, "treasury sweep", "-10.00") for i in range(n)])
+        assert got == {(i, 100 + i) for i in range(n)}
+
+
 def test_confidence_and_empty(spark):
     legs = [leg(1, "A", "B", "X-00001", 0, "royalty Palow", "10.00"), leg(2, "B", "A", "Y-00001", 0, "royalty Palow re 00001", "-10.00")]
     (r,) = match_legs(spark.createDataFrame(legs, SCHEMA)).collect()
