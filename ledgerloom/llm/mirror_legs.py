@@ -1,14 +1,16 @@
 """Matching the two legs of one transfer, each booked by one side without a common number: a cascade of joins.
 
-Every rule joins the legs still open on fewer or coarser attributes than the one before, keeps the pairs in which each leg
-is the other's best partner, and takes both out of the pool. A leg that cites the other side's document is a labelled case:
+Every rule joins the sets of alike legs still open on fewer or coarser attributes than the one before, pairs legs of sets in
+the order of the pairs' ranks until it has no further pair, and takes them out of the pool. A leg that cites the other side's document is a labelled case:
 the share of a rule's labelled pairs that it got right, smoothed, is the confidence of all its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ RATE, FLAT = 0.01, 60.0
 SALTS = 64
 #: Rows of one set from which on it is numbered in parts.
 HOT = 100_000
+#: Candidates of one pair of entities up to which one task takes them in order.
+CROWD = 1_000_000
 
 #: Words of transfer descriptions by the kind of charge.
 KINDS = {
@@ -73,7 +77,11 @@ def _legs(df: DataFrame) -> DataFrame:
     legs = describe(legs).drop("description")
     # A number that some leg of the other side cites makes its leg unlike others.
     calls = legs.where("cited is not null").select("pair", (~F.col("debit")).alias("debit"), F.col("cited").alias("number"), F.col("cited").alias("called")).distinct()
-    return legs.join(calls, ["pair", "debit", "number"], "left")
+    # So does one of the same digits, which may be a slip, and one where others have none.
+    sorted_digits = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    slips = calls.select("pair", "debit", sorted_digits("called").alias("slip")).distinct()
+    legs = legs.join(calls, ["pair", "debit", "number"], "left").withColumn("_sorted", sorted_digits("number")).withColumn("unnumbered", F.col("number").isNull())
+    return legs.join(slips.withColumn("_sorted", F.col("slip")), ["pair", "debit", "_sorted"], "left").drop("_sorted")
 
 
 @dataclass(frozen=True)
@@ -100,13 +108,13 @@ CASCADE = (
 )
 
 
-def _ranked(legs: DataFrame) -> DataFrame:
-    """Legs that are alike in all a rule looks at get numbers, so that equal legs meet one by one and not all by all.
+def _numbered(legs: DataFrame) -> DataFrame:
+    """Legs with ``alike``, equal for legs that are the same to every rule, and ``nth``, their number by id among those.
 
     A set of over HOT such legs is cut into ranges of ids, which are numbered each for itself and offset by the ranges before.
     """
-    keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited", "called"]
-    digest = legs.withColumn("alike", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited", "called", "slip", "unnumbered"]
+    digest = legs.withColumn("alike", F.md5(F.to_json(F.struct(*keys))))
     # At most one set for each HOT rows.
     hot = digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike")
     cuts = digest.join(F.broadcast(hot), "alike").groupBy("alike").agg(F.percentile_approx("leg_id", [i / SALTS for i in range(1, SALTS)]).alias("cuts"))
@@ -115,14 +123,19 @@ def _ranked(legs: DataFrame) -> DataFrame:
     before = Window.partitionBy("alike").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("alike", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # SALTS rows for each hot set
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("alike", "salt").orderBy("leg_id")))
-    return ranked.join(F.broadcast(offsets), ["alike", "salt"], "left").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0))).drop("alike", "salt", "cuts", "offset")
+    return ranked.join(F.broadcast(offsets), ["alike", "salt"], "left").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0))).drop("salt", "cuts", "offset")
+
+
+def _sets(legs: DataFrame) -> DataFrame:
+    """One row for each set of alike legs: its least id, what its legs have in common, how many they are and how many are taken."""
+    common = [c for c in legs.columns if c not in ("leg_id", "nth", "alike", "number")]
+    return legs.groupBy("alike").agg(F.min("leg_id").alias("set"), F.count("*").alias("n"), F.lit(0).cast("long").alias("used"), F.min_by("number", "leg_id").alias("number"), *[F.first(c).alias(c) for c in common])
 
 
 def _candidates(pool: DataFrame, rule: Rule) -> DataFrame:
-    legs = _ranked(pool)
-    a = legs.where("debit").select(*[F.col(c).alias(f"a_{c}") for c in legs.columns])
-    b = legs.where("not debit").select(*[F.col(c).alias(f"b_{c}") for c in legs.columns])
-    on = [F.col("a_pair") == F.col("b_pair"), F.col("a_nth") == F.col("b_nth")]
+    a = pool.where("debit").select(*[F.col(c).alias(f"a_{c}") for c in pool.columns])
+    b = pool.where("not debit").select(*[F.col(c).alias(f"b_{c}") for c in pool.columns])
+    on = [F.col("a_pair") == F.col("b_pair")]
     around = lambda c: F.explode(F.array(c - 1, c, c + 1))
     if rule.days == 0:
         on.append(F.col("a_date") == F.col("b_date"))
@@ -151,7 +164,52 @@ def _candidates(pool: DataFrame, rule: Rule) -> DataFrame:
     needed = {"site": site, "kind": kind, "cited": cites, "none": F.lit(True)}[rule.needs]
     pairs = a.join(b, on).where((off <= rule.days) & allowed & needed & (F.lit(rule.needs == "cited") | ~against))
     agree = F.coalesce(site.cast("int"), F.lit(0)) * 2 + F.coalesce(kind.cast("int"), F.lit(0)) + F.coalesce((F.col("a_month") == F.col("b_month")).cast("int"), F.lit(0)) + cites.cast("int") * 8
-    return pairs.select(F.col("a_leg_id").alias("a"), F.col("b_leg_id").alias("b"), F.struct(F.round(gap * 100).cast("long").alias("gap"), (-agree).alias("against"), off.alias("off"), F.least("a_leg_id", "b_leg_id").alias("lo"), F.greatest("a_leg_id", "b_leg_id").alias("hi")).alias("rank"), cites.alias("cites"), wrong.alias("wrong"))
+    ranks = [F.round(gap * 100).cast("long").alias("gap"), (-agree).alias("against"), off.alias("off"), F.least("a_set", "b_set").alias("lo"), F.greatest("a_set", "b_set").alias("hi")]
+    room = [x for side in ("a", "b") for x in (F.col(f"{side}_used").alias(f"{side}_used"), (F.col(f"{side}_n") - F.col(f"{side}_used")).alias(f"{side}_open"))]
+    return pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b"), F.xxhash64("a_pair").alias("of"), *ranks, *room, cites.alias("cites"), wrong.alias("wrong"))
+
+
+_SHARE = "a long, b long, a_used long, b_used long, k long, cites boolean"
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best pair of sets first, as the rows are sorted: as many legs as both have open are paired."""
+    done: dict[int, int] = {}
+    columns = ["a", "b", "a_used", "b_used", "a_open", "b_open", "cites"]
+    for f in frames:
+        out = []
+        for a, b, a_used, b_used, a_open, b_open, cites in zip(*[f[c].tolist() for c in columns], strict=True):
+            x, y = done.get(a, 0), done.get(b, 0)
+            k = min(a_open - x, b_open - y)
+            if k > 0:
+                done[a], done[b] = x + k, y + k
+                out.append((a, b, a_used + x, b_used + y, k, cites))
+        yield pd.DataFrame(out, columns=["a", "b", "a_used", "b_used", "k", "cites"])
+
+
+def _shares(pairs: DataFrame) -> DataFrame:
+    """(a, b, a_used, b_used, k, cites): pairs of sets by rank until none is left of which both have open legs; k legs of each, after those used.
+
+    To take the best pair first, and to take all that are each other's best and repeat, comes to the same. The latter is done
+    while one pair of entities has over CROWD candidates; what remains is taken in order.
+    """
+    rank = F.struct("gap", "against", "off", "lo", "hi")
+    pairs, rounds = pairs.where("not wrong"), []
+    while not pairs.groupBy("of").count().where(F.col("count") > CROWD).isEmpty():
+        best = lambda x, y: pairs.groupBy(x).agg(F.min_by(y, rank).alias(y))  # noqa: B023, E731
+        k = F.least("a_open", "b_open")
+        chosen = stored(pairs.join(best("a", "b"), ["a", "b"]).join(best("b", "a"), ["a", "b"]).select("a", "b", "a_used", "b_used", k.alias("k"), "cites"), "shares")
+        rounds.append(chosen)
+        left = pairs
+        for x in ("a", "b"):
+            left = left.join(chosen.select(x, F.col("k").alias("_k")), x, "left").withColumns({f"{x}_used": F.col(f"{x}_used") + F.coalesce("_k", F.lit(0)), f"{x}_open": F.col(f"{x}_open") - F.coalesce("_k", F.lit(0))}).drop("_k")
+        rest = stored(left.where("a_open > 0 and b_open > 0"), "candidates")
+        forget(pairs)
+        pairs = rest
+    shares = pairs.repartition("of").sortWithinPartitions("gap", "against", "off", "lo", "hi").mapInPandas(_in_order, _SHARE)
+    for r in rounds:
+        shares = shares.unionAll(r)
+    return shares
 
 
 def match_legs(df: DataFrame, cascade: tuple[Rule, ...] = CASCADE) -> DataFrame:
@@ -161,29 +219,35 @@ def match_legs(df: DataFrame, cascade: tuple[Rule, ...] = CASCADE) -> DataFrame:
     swapped, dates within two weeks and amounts that are equal or within the tolerance; a month or kind of charge that both
     name differently speaks against it, and so does a citation of another document. Legs without entity, counterparty, date
     or amount, and those of amount zero, are in no pair; null documents and descriptions say nothing. Ties go to the
-    smaller leg ids, equal legs are paired one by one. An empty table gives no rows; other columns are ignored.
+    set of alike legs with the smaller ids, equal legs are paired one by one in the order of their ids. An empty table gives no rows; other columns are ignored.
     """
-    pool = stored(_legs(df), "legs")
-    found: list[DataFrame] = []
+    legs = stored(_numbered(_legs(df)), "legs")
+    sets = stored(_sets(legs), "sets")
+    pool, found = sets, []
     for turn, rule in enumerate(cascade):
         pairs = stored(_candidates(pool, rule), "candidates")
-        open_pairs = pairs.where("not wrong")
-        best_a = open_pairs.groupBy("a").agg(F.min_by("b", "rank").alias("b"))
-        best_b = open_pairs.groupBy("b").agg(F.min_by("a", "rank").alias("a"))
         # What the rule would have paired had nothing been cited: its labelled failures.
-        missed = pairs.where("wrong").join(open_pairs.select("a").distinct(), "a", "left_anti").groupBy("a").agg(F.min("b").alias("b"))
-        cites = pairs.groupBy("a", "b").agg(F.max("cites").alias("cites"))
-        chosen = stored(best_a.join(best_b, ["a", "b"]).join(cites, ["a", "b"]).select("a", "b", "cites", F.lit(True).alias("kept")).unionAll(missed.select("a", "b", F.lit(False), F.lit(False))).withColumn("rule", F.lit(rule.name)), "chosen")
-        found.append(chosen)
-        taken = chosen.where("kept").select(F.explode(F.array("a", "b")).alias("leg_id"))
+        missed = pairs.where("wrong").join(pairs.where("not wrong").select("a").distinct(), "a", "left_anti").groupBy("a").agg(F.least(F.first("a_open"), F.sum("b_open")).alias("k"), F.min("b").alias("b"))
+        missed = stored(missed.select("a", "b", F.lit(None).cast("long").alias("a_used"), F.lit(None).cast("long").alias("b_used"), "k", F.lit(False).alias("cites"), F.lit(False).alias("kept"), F.lit(rule.name).alias("rule")), "missed")
+        shares = stored(_shares(pairs).withColumn("kept", F.lit(True)).withColumn("rule", F.lit(rule.name)), "shares")
+        found += [shares, missed]
         forget(pairs)
         if turn < len(cascade) - 1:
-            rest = stored(pool.join(taken, "leg_id", "left_anti"), "pool")
-            forget(pool)
+            taken = shares.select(F.explode(F.array("a", "b")).alias("set"), "k").groupBy("set").agg(F.sum("k").alias("_k"))
+            rest = stored(pool.join(taken, "set", "left").withColumn("used", F.col("used") + F.coalesce("_k", F.lit(0))).drop("_k").where("used < n"), "pool")
+            if pool is not sets:
+                forget(pool)
             pool = rest
     every = found[0]
     for f in found[1:]:
         every = every.unionAll(f)
     # One row a rule: labelled pairs it got right, of those it would have made; the prior is one right of two.
-    precision = every.groupBy("rule").agg(((F.sum((F.col("kept") & F.col("cites")).cast("int")) + 1) / (F.sum((F.col("cites") | ~F.col("kept")).cast("int")) + 2)).alias("confidence"))
-    return every.where("kept").join(F.broadcast(precision), "rule").select(F.least("a", "b").alias("leg_id_a"), F.greatest("a", "b").alias("leg_id_b"), "rule", F.round("confidence", 4).alias("confidence"))
+    n = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    precision = every.groupBy("rule").agg(((n(F.col("kept") & F.col("cites")) + 1) / (n(F.col("cites") | ~F.col("kept")) + 2)).alias("confidence"))
+    # Each share by its first side's legs, the n-th of which meets the n-th of the other side's.
+    members = legs.join(sets.select("alike", "set"), "alike").select("set", "nth", "leg_id")
+    shared = every.where("kept").drop("cites", "kept")
+    one = shared.join(members, (F.col("a") == F.col("set")) & (F.col("nth") > F.col("a_used")) & (F.col("nth") <= F.col("a_used") + F.col("k")))
+    one = one.select("b", (F.col("b_used") + F.col("nth") - F.col("a_used")).alias("b_nth"), "rule", F.col("leg_id").alias("one"))
+    both = one.join(members, (F.col("b") == F.col("set")) & (F.col("b_nth") == F.col("nth")))
+    return both.join(F.broadcast(precision), "rule").select(F.least("one", "leg_id").alias("leg_id_a"), F.greatest("one", "leg_id").alias("leg_id_b"), "rule", F.round("confidence", 4).alias("confidence"))

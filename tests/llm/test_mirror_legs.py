@@ -49,6 +49,16 @@ def test_hot_sets_are_paired_completely(spark, monkeypatch):
         assert got == {(i, 100 + i) for i in range(n)}
 
 
+def test_rules_go_on_until_no_pair_is_left(spark, monkeypatch):
+    window = (mirror_legs.Rule("amount_window", "equal", 14, "none"), mirror_legs.Rule("near_amount", "near", 14, "none"))
+    legs = [leg(i, "A", "B", None, 0, None, "10.00") for i in range(20)] + [leg(100 + i, "B", "A", None, i - 10, None, "-10.00") for i in range(20)]
+    legs += [leg(200, "C", "D", None, 0, None, "1000.00"), leg(201, "C", "D", None, 0, None, "1000.50"), leg(202, "D", "C", None, 0, None, "-1000.20"), leg(203, "D", "C", None, 0, None, "-1003.00")]
+    for crowd in (1000, 0):  # in order, and by rounds
+        monkeypatch.setattr(mirror_legs, "CROWD", crowd)
+        got = {(r.leg_id_a, r.leg_id_b) for r in match_legs(spark.createDataFrame(legs[: 40 if crowd else 3] + legs[20 : 40 if crowd else 23] + legs[40:], SCHEMA).distinct(), window).collect()}
+        assert len(got) == (22 if crowd else 5) and len({x for p in got for x in p}) == 2 * len(got) and {(200, 202), (201, 203)} <= got
+
+
 def test_confidence_and_empty(spark):
     legs = [leg(1, "A", "B", "X-00001", 0, "royalty Palow", "10.00"), leg(2, "B", "A", "Y-00001", 0, "royalty Palow re 00001", "-10.00")]
     (r,) = match_legs(spark.createDataFrame(legs, SCHEMA)).collect()
