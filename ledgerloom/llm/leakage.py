@@ -60,6 +60,10 @@ class Automaton:
             if up > 0 and self.length[up] >= run:
                 ends[up].extend(ends[state])
         self.ends = [tuple(dict.fromkeys(e)) if self.length[s] >= run else () for s, e in enumerate(ends)]
+        # The suffix state whose strings end in just ``run`` equal words.
+        self.run, self.top = run, [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=lambda s: self.length[s]):
+            self.top[state] = state if self.length[self.link[state]] < run else self.top[self.link[state]]
 
     @classmethod
     def of(cls, state: dict) -> Automaton:
@@ -123,6 +127,41 @@ class Automaton:
         if n >= least:
             yield len(text) - 1, n, state
 
+    def matches(self, text: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(end, length, item, place) of each run of equal words of text and item that can't be extended on either side."""
+        state, n, ids, nxt, link, length = 0, 0, self.ids, self.next, self.link, self.length
+        for at, word in enumerate(text):
+            c = ids.get(word)
+            if n >= self.run:
+                yield from self._ended(at - 1, n, state, c)
+            if c is None:
+                state = n = 0
+                continue
+            while state and c not in nxt[state]:
+                state = link[state]
+                n = length[state]
+            following = nxt[state].get(c)
+            state, n = (following, n + 1) if following is not None else (0, 0)
+        if n >= self.run:
+            yield from self._ended(len(text) - 1, n, state, None)
+
+    def _ended(self, end: int, n: int, state: int, c: int | None) -> Iterator[tuple[int, int, int, int]]:
+        """Runs that end here because their item goes on with another word than ``c``; shorter ones end in suffix states."""
+        top = self.top[state]
+        following = self.next[top].get(c) if c is not None else None
+        carried = self.ends[following] if following is not None else ()
+        if len(carried) == len(self.ends[top]):
+            return
+        carried, seen = set(carried), set()
+        while self.length[state] >= self.run:
+            for item, at in self.ends[state]:
+                if (item, at) not in seen:
+                    seen.add((item, at))
+                    if (item, at + 1) not in carried:
+                        yield end, n, item, at
+            state = self.link[state]
+            n = self.length[state]
+
 
 def passages(runs: list[tuple[int, int, int]], gap: int = GAP, most: int = PASSAGES) -> tuple[int, list[tuple[int, int]]]:
     """Item words covered by the best one or two passages in the item's order, and the passages' places in the document.
@@ -166,9 +205,8 @@ def passages(runs: list[tuple[int, int, int]], gap: int = GAP, most: int = PASSA
 def _scan(text: str, automaton: Automaton, coverage: float) -> list[tuple[int, float, list[list[int]]]]:
     found = words(text)
     by_item: dict[int, list] = {}
-    for end, n, state in automaton.runs([w for w, _, _ in found]):
-        for item, at in automaton.ends[state]:
-            by_item.setdefault(item, []).append((at - n + 1, end - n + 1, n))
+    for end, n, item, at in automaton.matches([w for w, _, _ in found]):
+        by_item.setdefault(item, []).append((at - n + 1, end - n + 1, n))
     out = []
     for item, runs in by_item.items():
         if sum(n for _, _, n in runs) >= coverage * automaton.size[item]:

@@ -48,6 +48,31 @@ def test_automaton_finds_every_longest_match():
         assert got == want
 
 
+def test_matches_of_every_item_against_brute_force():
+    r = random.Random(7)
+    for _ in range(150):
+        texts = [[r.choice("abc") for _ in range(r.randrange(1, 20))] for _ in range(5)]
+        texts += [texts[0][2:9], texts[1][:6] + ["d"] * 3]
+        doc = [r.choice("abcd") for _ in range(15)] + texts[0] + texts[1]
+        want = set()
+        for i, t in enumerate(texts):
+            for e in range(len(doc)):
+                for at in range(len(t)):
+                    n = 0
+                    while n <= min(e, at) and doc[e - n] == t[at - n]:
+                        n += 1
+                    if n >= 3 and (e + 1 == len(doc) or at + 1 == len(t) or doc[e + 1] != t[at + 1]):
+                        want.add((e, n, i, at))
+        got = list(Automaton(list(enumerate(texts)), run=3).matches(doc))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_nested_items_and_items_of_one_stem(spark):
+    w = ITEM.split()
+    texts = [ITEM, " ".join(w[2:7]), " ".join(w[-8:]), " ".join(w[:8] + ["other", "end", "here"])]
+    assert {r.item_id for r in leaks(docs(spark, ["Intro " + ITEM + " outro"]), items(spark, texts)).collect()} == {100, 101, 102, 103}
+
+
 def test_passages_and_words():
     assert passages([(0, 10, 5), (6, 16, 5)])[0] == 10 and passages([(0, 50, 5), (10, 10, 5)])[0] == 5 and passages([(0, 0, 5), (20, 90, 6)])[0] == 11
     assert passages([]) == (0, [])
