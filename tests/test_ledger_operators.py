@@ -14,6 +14,7 @@ from ledgerloom.operators import joins, predicates, windows
 from ledgerloom.operators.formula import formula
 from ledgerloom.operators.matching import allocate, match_ledgers, residual_matches, subset_sum
 from ledgerloom.operators.sampling import monetary_sample, positions, random_sample, stratified_sample
+from ledgerloom.plans import ledger_queries
 from ledgerloom.sources import tables as sources
 from ledgerloom.streaming import events as streams
 
@@ -231,3 +232,10 @@ def test_streams_equal_batches(spark, tmp_path):
     done = {tuple(r) for r in out.collect()}
     assert len(done) > 50 and done <= {tuple(r) for r in batch.collect()}
     assert streams.sessions(df, "ts", "u").count() > 3 and streams.deduplicated(df.unionAll(df), "ts", ["id"]).count() == 100
+
+
+def test_recurrences_of_every_order(spark):
+    at = "/root/testdata/sf0.001"
+    got = {r.o_orderkey: (r.n, r.m) for r in ledger_queries.fn_recurrences(spark, at).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("due").alias("m")).collect()}
+    want = {r.o_orderkey: (12 * (2001 - r.day.year) + 13 - r.day.month, r.day.replace(day=min(r.day.day, 28))) for r in ledger_queries.orders(spark, at).collect()}
+    assert got == want and min(m for _, m in want.values()).year < 2001
