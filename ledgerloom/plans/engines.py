@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import money, text
 from ledgerloom.gates import Result, gates, same_rows
 from ledgerloom.operators import aggregates, joins, predicates, windows
+from ledgerloom.operators.instants import normalise
 from ledgerloom.runtime import stored, table
 
 D = Decimal
@@ -20,10 +21,11 @@ def cents(c):
 
 
 def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices with a typed amount and a day; dates only where they are written year first."""
-    inv = table(spark, sf_dir, "invoices")
-    iso = F.when(F.trim("invoice_date").rlike(r"^\d{4}-\d\d-\d\d$"), F.trim("invoice_date").try_cast("date"))
-    return inv.select("row_id", "invoice_no", "vendor", "po_no", "po_line", "item", "qty_billed", "unit_price", money.money(F.regexp_replace("extended_amount", r"^\s*\$\s*\(", "(")).alias("amount"), iso.alias("day"))
+    """Invoices with a typed amount and a day; dates of every layout, in the day-month order of their source."""
+    systems = table(spark, sf_dir, "source_systems").groupBy("source").agg(F.first("date_order").alias("date_order"))
+    raw = table(spark, sf_dir, "invoices").join(F.broadcast(systems), "source", "left")  # source_systems has a fixed number of rows
+    inv = normalise(raw.withColumns({"kind": F.lit("date"), "raw": F.col("invoice_date"), "zone": F.lit(None).cast("string")}))
+    return inv.select("row_id", "invoice_no", "vendor", "po_no", "po_line", "item", "qty_billed", "unit_price", money.money(F.regexp_replace("extended_amount", r"^\s*\$\s*\(", "(")).alias("amount"), F.col("norm").try_cast("date").alias("day"))
 
 
 def duplicate_payments(rows: DataFrame, window: int = 45) -> DataFrame:

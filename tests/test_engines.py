@@ -24,6 +24,16 @@ def test_duplicate_payments(spark):
     assert engines.duplicate_payments(df.where("false")).count() == 0
 
 
+def test_duplicates_with_dates_of_every_layout(spark, tmp_path):
+    texts = ["2025-03-01", "03.02.2025", "Mar 3, 2025", "20250304", "45721", "no date"]  # the serial day is 2025-03-05
+    rows = [(i, f"I{i}", "Acme Ltd", None, None, None, D(1), D(10), "10.00", t, "s") for i, t in enumerate(texts)]
+    schema = "row_id long, invoice_no string, vendor string, po_no string, po_line int, item string, qty_billed decimal(18,6), unit_price decimal(18,6), extended_amount string, invoice_date string, source string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/invoices.parquet")
+    spark.createDataFrame([("s", "UTC", "MDY")], "source string, tz_name string, date_order string").write.parquet(f"{tmp_path}/source_systems.parquet")
+    got = {(r.tier, r.first_row, r.other_row) for r in engines.eng_duplicate_payments(spark, str(tmp_path)).collect()}
+    assert got == {(2, a, b) for a in range(5) for b in range(a + 1, 5)}
+
+
 def test_aging_gate_catches_a_planted_error(spark):
     rows = [(1, "c", "i1", day(0), D("19875.00"), "Current"), (2, "c", "i2", day(-40), D("100.00"), "1-30"), (3, None, "i3", None, D("-5.00"), None)]
     df = spark.createDataFrame(rows, "row_id long, customer string, invoice_no string, invoice_date date, open_balance decimal(18,2), reported_bucket string")
