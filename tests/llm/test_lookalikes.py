@@ -1,7 +1,10 @@
+import random
+import unicodedata
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.lookalikes import Decoder, consistent, look, look_pairs, same_look
+from ledgerloom.llm.lookalikes import COLUMN, Decoder, consistent, look, look_pairs, plain, same_look
 
 BASE = "Office café: Total 24 Москва"
 SAME = [BASE, "Oﬃce café: Total 24 Москва", "Оffiсе café: Total 24 Москва", "Ｏffice caf​é: Ｔotal ２4 Моc­квa", "Of⁠fice café: Τοтal".replace("т", "t") + " 24 Москва"]
@@ -29,8 +32,30 @@ def test_forms_are_consistent_in_script(spark):
     assert len(forms) == 6 and forms[0] == corpus[0] and forms[1] == corpus[1] and forms[2] == "cost open" and forms[3] == "расход отчёт" and forms[4] is None and forms[5] == ""
 
 
+ORIGINALS = [
+    "the board approved the cost of repair for every office copier in October", "please post the accrual of freight charges before the close of the period", "Счёт оплачен полностью, остаток перенесён на следующий месяц", "Расходы по проекту выше сметы, поэтому отчёт вернули главному бухгалтеру",
+    "Der Betrag für Büromöbel wurde im März geprüft und gebucht", "La facture du fournisseur était déjà réglée à la fin du trimestre",
+]
+
+
+def test_planted_look_alikes_are_undone_by_the_path(spark):
+    rng = random.Random(3)
+    planted = ["".join(rng.choice(COLUMN[c])[0] if c in COLUMN and rng.random() < 0.3 else c for c in t) for t in ORIGINALS]
+    assert all(p != t and plain(p) != plain(t) for p, t in zip(planted, ORIGINALS, strict=True))  # nothing but the lattice makes them equal
+    forms = {r.doc_id: r.form for r in consistent(docs(spark, ORIGINALS * 3 + planted), "doc_id", "text").collect()}
+    assert [forms[18 + i] for i in range(6)] == [unicodedata.normalize("NFC", t) for t in ORIGINALS]
+    pairs = {(r.doc_id_a, r.doc_id_b) for r in look_pairs(docs(spark, ORIGINALS + planted), "doc_id", "text").collect()}
+    assert pairs == {(i, i + 6) for i in range(6)}
+
+
+def test_phonetic_letters_and_words_between_scripts():
+    decode = Decoder({})
+    assert decode("sɑme ɡap") == "same gap" and decode("cор") == "cop" and decode("é" + "ɑ" * 50) == "é" + "a" * 50
+    assert decode("с ценой") == "с ценой" and decode("c ценой") == "с ценой"  # a lone letter follows the text's script
+
+
 def test_long_text():
-    assert Decoder({})("a" * 500_000) is not None
+    assert Decoder({})("a" * 500_000) is not None and Decoder({})("é" + "о" * 200_000) == "é" + "o" * 200_000
 
 
 @settings(max_examples=200, deadline=None)
