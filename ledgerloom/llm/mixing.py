@@ -7,6 +7,7 @@ blocks after another, so that each block is used once before any is used again;
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 
@@ -15,32 +16,49 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import stored
+from ledgerloom.runtime import forget, stored
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the pieces into which the byte-level vocabularies cut a text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 128
 SHARD = 8_192
+#: Shards of one group, within which a running sum is taken.
+SHARDS = 4_096
 #: Documents of one chunk, within which a running sum is taken.
 CHUNK = 20_000
 SEED = 17
 
 
+def _counter(vocabulary: str, ranks: bool):
+    """A function from texts to their numbers of tokens."""
+    if ranks:
+        import tiktoken
+
+        table = {base64.b64decode(a): int(n) for a, n in map(str.split, vocabulary.splitlines())}
+        encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(vocabulary)
+    t.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for i in range(0, len(texts), 200) for e in t.encode_batch(texts[i : i + 200], add_special_tokens=False)]
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of each document by the tokenizer in the file ``tokenizer``; 0 for a null or empty text."""
+    """(doc_id, source, tokens) of each document by the tokenizer in the file ``tokenizer``; 0 for a null or empty text.
+
+    The file has ranks (``.tiktoken``) or is a whole tokenizer (``.json``); strings of special tokens are ordinary text.
+    """
     with open(tokenizer, encoding="utf-8") as f:
         vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
+    ranks = tokenizer.endswith(".tiktoken")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(vocabulary.value)
-        t.encode_special_tokens = True
+        count = _counter(vocabulary.value, ranks)
         for f in frames:
-            n = []
-            texts = [x if isinstance(x, str) else "" for x in f["text"]]
-            for i in range(0, len(texts), 200):
-                n += [len(e.ids) for e in t.encode_batch(texts[i : i + 200], add_special_tokens=False)]
+            n = count([x if isinstance(x, str) else "" for x in f["text"]])
             yield pd.DataFrame({"doc_id": f["doc_id"], "source": f["source"], "tokens": pd.Series(n, dtype="int64")})
 
     return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
@@ -66,14 +84,15 @@ def pack(counts: DataFrame, block: int = BLOCK, chunk: int = CHUNK, seed: int =
     return pieces.select("source", F.col("block").cast("long").alias("block"), "doc_id", (lo - F.col("start")).alias("first"), (hi - lo).alias("tokens"))
 
 
-def draw(spark, targets: list[tuple[str, float]], slots: int, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def draw(spark, targets: list[tuple[str, float]], slots: int, shard: int = SHARD, seed: int = SEED, group: int = SHARDS) -> DataFrame:
     """(shard, source, n, base): slots of each source in each shard, and how many its earlier shards have.
 
-    A shard's whole shares are given and what remains of it is drawn from the multinomial distribution of the fractions, so
-    that a source is never off by more than the remainder.
+    The counts of a shard are one multinomial draw of its slots by the target shares, from a generator set by the seed and the
+    shard's number, so that any shard can be drawn again by itself. Sums of earlier shards are taken within groups of shards
+    on top of those of the groups before.
     """
     names, shares = [t[0] for t in targets], np.array([t[1] for t in targets], dtype=float)
-    shares = shares / shares.sum() if shares.sum() > 0 else shares
+    total = shares.sum()
     shards = max(1, -(-slots // shard))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,17 +100,17 @@ def draw(spark, targets: list[tuple[str, float]], slots: int, shard: int = SHARD
             rows = []
             for i in f["id"]:
                 size = min(shard, slots - i * shard)
-                n = np.floor(shares * size + 1e-9).astype(int)
-                rest = shares * size - n
-                if (left := size - n.sum()) > 0 and shares.sum() > 0:
-                    rest = np.maximum(rest, 1e-12)
-                    n = n + np.random.default_rng((seed, int(i))).multinomial(left, rest / rest.sum())
+                n = np.random.default_rng((seed, int(i))).multinomial(size, shares / total) if total > 0 else np.zeros(len(names), dtype=int)
                 rows += [(int(i), s, int(k)) for s, k in zip(names, n, strict=True)]
             yield pd.DataFrame(rows, columns=["shard", "source", "n"])
 
     drawn = spark.range(shards).mapInPandas(run, "shard long, source string, n long") if names and slots else spark.createDataFrame([], "shard long, source string, n long")
-    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    return drawn.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    drawn = stored(drawn.withColumn("group", F.floor(F.col("shard") / group)), "draws")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = drawn.groupBy("source", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("source", "group", before(Window.partitionBy("source").orderBy("group"), "n").alias("earlier"))
+    within = drawn.withColumn("base", before(Window.partitionBy("source", "group").orderBy("shard"), "n"))
+    return within.join(groups, ["source", "group"]).select("shard", "source", "n", (F.col("base") + F.col("earlier")).alias("base"))
 
 
 def permuted(k: Column, n: Column, key: Column) -> Column:
@@ -126,7 +145,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: int | None = None, tok
     ``targets`` has source, target_share and max_repeats; it is collected, being one row a source. ``tokens`` is the size of
     the mix, by default that of all documents. Slots of a source beyond its blocks times max_repeats stay empty, and those of
     a source without documents: neither is filled with other sources, so the shares reached are reported. Documents of no
-    listed source, or without tokens, aren't used. A null share or number of repeats is 0. A source listed twice has the sum
+    listed source, or without tokens, aren't used. The report has the slots each source drew, those its cap left it, and
+    ``deviation``, by how much the share reached differs from the target. A null share or number of repeats is 0. A source listed twice has the sum
     of its shares and the larger number of repeats.
     """
     spark = documents.sparkSession
@@ -137,7 +157,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: int | None = None, tok
     pieces = stored(pack(counts.join(F.broadcast(wanted.select("source")), "source"), block, seed=seed), "pieces")
     held = pieces.groupBy("source").agg((F.max("block") + 1).alias("blocks"), F.sum("tokens").alias("available"))
     size = tokens if tokens is not None else counts.agg(F.sum("tokens")).first()[0] or 0
-    slots = draw(spark, [g[:2] for g in goals], -(-size // block), shard, seed)
+    forget(counts)
+    wished = -(-size // block)
+    slots = stored(draw(spark, [g[:2] for g in goals], wished, shard, seed), "drawn")
     filled = slots.join(goal_rows, "source").join(F.broadcast(held), "source")  # both have a row for each source
     filled = filled.withColumn("n", F.least("n", F.greatest(F.lit(0), F.col("blocks") * F.col("max_repeats") - F.col("base")))).where("n > 0")
     each = filled.withColumn("k", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)))
@@ -146,11 +168,12 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: int | None = None, tok
     chosen = stored(chosen.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy("order", "source", "block", "use"))).drop("order"), "slots")
     in_block = pieces.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     used = chosen.join(in_block, ["source", "block"]).groupBy("source").agg(F.count("*").alias("slots"), F.sum("tokens").alias("tokens"), (F.max("use") + 1).alias("most_repeats"))
-    report = goal_rows.join(held, "source", "left").join(used, "source", "left").withColumn("all", F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy(F.lit(1))))
+    report = goal_rows.join(slots.groupBy("source").agg(F.sum("n").alias("drawn")), "source", "left").join(held, "source", "left").join(used, "source", "left").withColumn("all", F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy(F.lit(1))))
     zero = lambda c: F.coalesce(c, F.lit(0))
     report = report.select(
-        "source", "target_share", "max_repeats", zero("available").alias("available_tokens"), zero("slots").alias("slots"), zero("tokens").alias("tokens"), zero("most_repeats").alias("most_repeats"),
+        "source", "target_share", "max_repeats", zero("available").alias("available_tokens"), zero("drawn").alias("drawn_slots"), zero("slots").alias("slots"), zero("tokens").alias("tokens"), zero("most_repeats").alias("most_repeats"),
         F.round(F.coalesce(F.col("tokens") / F.col("available"), F.lit(0.0)), 6).alias("repeats"), F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)), 6).alias("share"),
+        F.round(F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)) - F.col("target_share"), 6).alias("deviation"),
     )
     return chosen, pieces, report
 

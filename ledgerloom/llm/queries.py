@@ -11,7 +11,7 @@ from ledgerloom.llm.lookalikes import consistent, look_pairs, same_look
 from ledgerloom.llm.mirror_legs import match_legs
 from ledgerloom.llm.mixing import document_uses, mix
 from ledgerloom.llm.names import parties, spelling_pairs
-from ledgerloom.runtime import table
+from ledgerloom.runtime import forget, stored, table
 
 INVOICE_TEXTS = ["invoice_no", "vendor", "invoice_date", "po_no", "item", "requester", "source"]
 INVOICE_NUMBERS = ["po_line", "qty_billed", "unit_price", "amount_paid"]
@@ -64,7 +64,10 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of each source and the share of all tokens it reaches."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[2]
+    chosen, pieces, report = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    report = stored(report, "report")
+    forget(chosen, pieces)
+    return report
 
 
 def p9_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
