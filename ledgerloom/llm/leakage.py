@@ -5,16 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.lookalikes import look
+from ledgerloom.runtime import partitions
 
 #: Words of the shortest run that counts, of the longest gap inside a passage, and the least share of an item's words.
 RUN, GAP, COVERAGE = 4, 3, 0.4
 PASSAGES = 2
-#: Items of one automaton; more are taken block by block, each against all documents.
+#: Items of one automaton; of more, a document meets only the automata of items that it shares a run of words with.
 BLOCK = 2_000
 
 _MARKS = re.compile(r"[̀-ͯ]")
@@ -65,13 +68,6 @@ class Automaton:
         for state in sorted(range(1, len(self.next)), key=lambda s: self.length[s]):
             self.top[state] = state if self.length[self.link[state]] < run else self.top[self.link[state]]
 
-    @classmethod
-    def of(cls, state: dict) -> Automaton:
-        """From the plain data of another one, as broadcast."""
-        made = cls.__new__(cls)
-        made.__dict__ = state
-        return made
-
     def _state(self, length: int, ends: list) -> int:
         self.next.append({})
         self.link.append(-1)
@@ -202,64 +198,106 @@ def passages(runs: list[tuple[int, int, int]], gap: int = GAP, most: int = PASSA
     return total, spans
 
 
-def _scan(text: str, automaton: Automaton, coverage: float) -> list[tuple[int, float, list[list[int]]]]:
+def _scan(text: str, automaton: Automaton, coverage: float, length: int | None = None) -> list[tuple[int, float, list[list[int]]]]:
     found = words(text)
     by_item: dict[int, list] = {}
     for end, n, item, at in automaton.matches([w for w, _, _ in found]):
         by_item.setdefault(item, []).append((at - n + 1, end - n + 1, n))
     out = []
     for item, runs in by_item.items():
-        if sum(n for _, _, n in runs) >= coverage * automaton.size[item]:
+        least = coverage * automaton.size[item]
+        held = 0
+        if sum(n for _, _, n in runs) >= (least if length is None else min(least, length)):
             held, spans = passages(runs)
-            if held >= coverage * automaton.size[item]:
-                out.append((item, round(held / automaton.size[item], 4), [[found[a][1], found[b - 1][2]] for a, b in spans]))
+            if held < least and length is not None:
+                held, spans = passages(runs, most=1)
+        if held and (held >= least or length is not None and held >= length):
+            out.append((item, round(held / automaton.size[item], 4), [[found[a][1], found[b - 1][2]] for a, b in spans]))
     return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def _run_hashes(text: list[str], run: int = RUN) -> np.ndarray:
+    """A number for each run of ``run`` words."""
+    return np.fromiter((xxhash.xxh64_intdigest(" ".join(text[i : i + run])) for i in range(len(text) - run + 1)), dtype=np.uint64)
+
+
+def _met(documents: DataFrame, blocks: list[list[tuple[int, list[str]]]]) -> DataFrame:
+    """(doc_id, text, block): each document once for every block with an item that it shares a run of RUN words with.
+
+    One pass over the documents. What is broadcast is a number for each run of the items, a bounded set of queries.
+    """
+    own = [np.unique(np.concatenate([_run_hashes(w) for _, w in b] or [np.empty(0, np.uint64)])) for b in blocks]
+    hashes, place = np.concatenate(own), np.concatenate([np.full(len(h), i, dtype=np.int32) for i, h in enumerate(own)])
+    order = np.argsort(hashes, kind="stable")
+    shared = documents.sparkSession.sparkContext.broadcast((hashes[order], place[order]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, of = shared.value
+        for f in frames:
+            rows = []
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                h = np.unique(_run_hashes([w for w, _, _ in words(t)]))
+                lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+                rows += [(d, t, b) for b in sorted({int(x) for i, j in zip(lo[lo < hi], hi[lo < hi], strict=True) for x in of[i:j]})]
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "block"])
+
+    return documents.mapInPandas(run, "doc_id long, text string, block int")
+
+
+def leaks(documents: DataFrame, items: DataFrame, coverage: float = COVERAGE, length: int | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, coverage, spans) of each document that holds an item; spans are places (from, to) in its text.
 
     A document holds an item if one or two passages, in the item's order, have at least ``coverage`` of its words, where
-    runs of four or more equal words that follow each other with gaps of up to three words are one passage. Items of fewer
-    words than a run can't be found; null or empty items and texts hold and are held by nothing; equal items are all
-    reported. The items are a stated, held-out set: they are collected, in blocks, and met by every document.
+    runs of four or more equal words that follow each other with gaps of up to three words are one passage; with ``length``,
+    also if one passage has at least so many words. Items of fewer words than a run can't be found; null or empty items and
+    texts hold and are held by nothing; equal items are all reported. The items are a stated, held-out set: they are
+    collected and broadcast as words; every document is read once, however many they are.
     """
     spark = documents.sparkSession
     rows = items.where("text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator()  # a bounded set of queries
-    blocks, block = [], []
-    for r in rows:
-        block.append((r.item_id, [w for w, _, _ in words(r.text)]))
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    blocks = [*blocks, block] if block or not blocks else blocks
-    found = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(vars(Automaton(block)))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = Automaton.of(shared.value)
-            for f in frames:
-                out = [(d, *hit) for d, t in zip(f["doc_id"], f["text"], strict=True) if isinstance(t, str) for hit in _scan(t, automaton, coverage)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "spans"])
-
-        part = documents.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, coverage double, spans array<array<int>>")
-        found = part if found is None else found.unionAll(part)
-    return found
-
-
-def cleaned(documents: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, text) of all documents with the leaked passages cut out; the others as they are, in the same rows."""
-    spans = leaks(documents, items, coverage).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # few items leak into one document
+    queries = [(r.item_id, [w for w, _, _ in words(r.text)]) for r in rows]
+    blocks = [queries[i : i + block] for i in range(0, len(queries), block)] or [[]]
+    shared = spark.sparkContext.broadcast(blocks)
+    texts = documents.where("text is not null").select("doc_id", "text")
+    if len(blocks) == 1:
+        met = texts.withColumn("block", F.lit(0))
+    else:
+        # Each task has documents of few blocks, one after another; a block that most documents meet is in many tasks.
+        parts = max(len(blocks), partitions(spark))
+        met = _met(texts, blocks).repartition(parts, "block", F.pmod(F.xxhash64("doc_id"), F.lit(-(-parts // len(blocks))))).sortWithinPartitions("block")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, automaton = None, None
+        for f in frames:
+            out = []
+            for d, t, b in zip(f["doc_id"], f["text"], f["block"], strict=True):
+                if b != at:
+                    at, automaton = b, Automaton(shared.value[b])
+                out += [(d, *hit) for hit in _scan(t, automaton, coverage, length)]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "spans"])
+
+    return met.mapInPandas(run, "doc_id long, item_id long, coverage double, spans array<array<int>>")
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the spans; those that overlap or touch are cut as one."""
+    out, upto = [], 0
+    for a, b in sorted(spans):
+        out.append(text[upto : max(a, upto)])
+        upto = max(upto, b)
+    return "".join([*out, text[upto:]])
+
+
+def cleaned(documents: DataFrame, items: DataFrame, coverage: float = COVERAGE, length: int | None = None) -> DataFrame:
+    """(doc_id, text) of all documents with the leaked passages cut out; the others as they are, in the same rows.
+
+    Passages of several items may overlap: their union is cut, and nothing outside it.
+    """
+    spans = leaks(documents, items, coverage, length).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # few items leak into one document
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = []
-            for t, own in zip(f["text"], f["spans"], strict=True):
-                if own is not None and isinstance(t, str):
-                    for a, b in sorted((tuple(s) for s in own), reverse=True):
-                        t = t[:a] + t[b:]
-                texts.append(t)
+            texts = [cut_spans(t, [tuple(s) for s in own]) if own is not None and isinstance(t, str) else t for t, own in zip(f["text"], f["spans"], strict=True)]
             yield pd.DataFrame({"doc_id": f["doc_id"], "text": texts})
 
     return documents.select("doc_id", "text").join(spans, "doc_id", "left").mapInPandas(cut, "doc_id long, text string")

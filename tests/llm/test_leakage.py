@@ -1,6 +1,6 @@
 import random
 
-from ledgerloom.llm.leakage import Automaton, cleaned, leaks, passages, words
+from ledgerloom.llm.leakage import Automaton, cleaned, cut_spans, leaks, passages, words
 
 ITEM = "Whenever the northern plant archives timesheets, seven auditors weighed 986,184 ledgers and later the amber contract was swapped once in June before any dividend"
 
@@ -90,3 +90,35 @@ def test_two_passages_against_all_pairs():
         runs = [(r.randrange(0, 60, 9), 40 * k, r.randrange(4, 9)) for k in range(r.randrange(1, 6))]
         want = max([n for _, _, n in runs] + [x[2] + y[2] for x in runs for y in runs if x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1]])
         assert passages(runs)[0] == want
+
+
+def test_overlapping_leaks_cut_nothing_else(spark):
+    w = ITEM.split()
+    passage = " ".join(w[:20])
+    d = docs(spark, [f"KEEP0 {passage} KEEPTHIS and also this tail text stays here.", f"a {ITEM} b {ITEM} c"])
+    two = items(spark, [" ".join(w[:14]), " ".join(w[6:20])])
+    assert {r.doc_id: r.text for r in cleaned(d, two).collect()}[0] == "KEEP0  KEEPTHIS and also this tail text stays here."
+    assert cut_spans("0123456789", [(2, 5), (4, 7), (2, 3), (7, 8), (9, 9)]) == "0189"
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choice("abc") for _ in range(r.randrange(30)))
+        spans = [(a, min(len(text), a + r.randrange(9))) for a in (r.randrange(len(text) + 1) for _ in range(r.randrange(6)))]
+        assert cut_spans(text, spans) == "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in spans))
+
+
+def test_any_number_of_blocks_in_one_pass_finds_the_same(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(6, 30))) for _ in range(60)]
+    corpus = [" ".join(r.choice(vocabulary) for _ in range(40)) + " " + " ".join(t.split()[: r.randrange(3, 20)]) + " end" for t in texts for _ in range(3)]
+    d, i = docs(spark, [*corpus, None, ""]), items(spark, texts)
+    flat = lambda df: sorted((x.doc_id, x.item_id, x.coverage, str(x.spans)) for x in df.collect())
+    one = flat(leaks(d, i))
+    assert len(one) > 60 and flat(leaks(d, i, block=7)) == one and flat(leaks(d, i, block=1)) == one
+
+
+def test_a_long_passage_counts_by_its_length(spark):
+    w = [f"w{i}" for i in range(200)]
+    d = docs(spark, ["x " + " ".join(w[50:75]) + " y", "x " + " ".join(w[50:60]) + " y"])
+    assert leaks(d, items(spark, [" ".join(w)])).collect() == []
+    assert [(r.doc_id, r.coverage) for r in leaks(d, items(spark, [" ".join(w)]), length=20).collect()] == [(0, 0.125)]
