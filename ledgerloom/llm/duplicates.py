@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import canonical_number
-from ledgerloom.runtime import stored
+from ledgerloom.operators.joins import checked_broadcast
+from ledgerloom.runtime import forget, stored
 
 #: Distinct canonical texts of one bucket.
 BUCKET = 50_000
-ROUNDS = 200
+ROUNDS = 40
 
 
 def text_form(c: Column) -> Column:
@@ -35,22 +36,21 @@ def canonical(df: DataFrame, row_id: str, texts: list[str], numbers: list[str],
     """(row_id, canon): the forms of all fields, sorted, so that values standing in each other's column make no difference.
 
     Where the amount's column holds no number, the amount is looked for in the text columns: the first that has a currency
-    sign, thousands commas or decimals. All else is compared as text.
+    sign, thousands commas or decimals. All else is compared as text. Each form is a projection of its own, worked out once;
+    texts are read as amounts only in the few rows whose amount is none.
     """
-    forms = {c: F.col(f"`{c}`") for c in texts}
-    flat = df.select(F.col(row_id).alias("row_id"), *[c.alias(f"t{i}") for i, c in enumerate(forms.values())], *[number_form(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(numbers)], (F.col(f"`{amount}`") if amount else F.lit(None).cast("string")).alias("amount"))
+    none = F.lit(None).cast("string")
+    flat = df.select(
+        F.col(row_id).alias("row_id"), F.array(*[F.col(f"`{c}`").cast("string") for c in texts]).alias("t") if texts else F.array().cast("array<string>").alias("t"),
+        F.array(*[number_form(F.col(f"`{c}`")) for c in numbers]).alias("n") if numbers else F.array().cast("array<string>").alias("n"), (F.col(f"`{amount}`") if amount else none).alias("amount"),
+    )
     flat = flat.withColumn("value", amount_form(F.col("amount")))
-    strayed = F.lit(False)
-    out = []
-    for i in range(len(texts)):
-        t = F.col(f"t{i}")
-        looks = t.rlike(r"[$(]|\.\d{2}\s*\)?-?\s*$|,\d{3}") & amount_form(t).isNotNull()
-        here = ~strayed & F.col("value").isNull() & F.coalesce(looks, F.lit(False))
-        out.append(F.when(here, amount_form(t)).otherwise(text_form(t)))
-        strayed = strayed | here
-    fields = [*out, *[F.col(f"n{i}") for i in range(len(numbers))], F.coalesce("value", text_form(F.col("amount")))]
-    named = flat.select("row_id", *[f.alias(f"f{i}") for i, f in enumerate(fields)])
-    return named.select("row_id", F.array_join(F.reverse(F.array_sort(F.array(*[f"f{i}" for i in range(len(fields))]))), "\u001f").alias("canon"))
+    looks = lambda t: F.when(t.rlike(r"[$(]|\.\d{2}\s*\)?-?\s*$|,\d{3}"), amount_form(t))
+    flat = flat.withColumn("strays", F.when(F.col("value").isNull(), F.transform("t", looks)))
+    flat = flat.withColumn("stray", F.array_position(F.transform("strays", lambda x: x.isNotNull()), F.lit(True)).cast("int"))
+    form = lambda t, i: F.when(i + 1 == F.col("stray"), F.get("strays", i)).otherwise(text_form(t))
+    fields = F.concat(F.transform("t", form), F.col("n"), F.array(F.coalesce("value", text_form(F.col("amount")))))
+    return flat.select("row_id", F.array_join(F.reverse(F.array_sort(fields)), "\u001f").alias("canon"))
 
 
 class Trie:
@@ -90,66 +90,68 @@ class Trie:
             stack.extend((here, c) for c in children.values())
 
 
-def _count(frames: Iterator[pd.DataFrame], per_batch: bool) -> Iterator[pd.DataFrame]:
-    tries: dict[str, Trie] = {}
+COUNTED = "canon string, n long, least long"
 
-    def drain() -> pd.DataFrame:
-        rows = [(b, *t) for b, trie in tries.items() for t in trie.terminals()]
-        tries.clear()
-        return pd.DataFrame(rows, columns=["bucket", "canon", "n", "least"])
 
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One trie for each bucket of this partition, whose rows come bucket by bucket; its terminals when the bucket ends."""
+    at, trie = None, Trie()
     for f in frames:
+        out = []
         for b, c, n, least in zip(f["bucket"], f["canon"], f["n"], f["least"], strict=True):
-            if b not in tries:
-                tries[b] = Trie()
-            tries[b].add(c, n, least)
-        if per_batch:
-            yield drain()
-    if tries:
-        yield drain()
-
-
-COUNTED = "bucket string, canon string, n long, least long"
+            if b != at:
+                out.extend(trie.terminals())
+                at, trie = b, Trie()
+            trie.add(c, n, least)
+        yield pd.DataFrame(out, columns=["canon", "n", "least"])
+    yield pd.DataFrame(list(trie.terminals()), columns=["canon", "n", "least"])
 
 
 def radix_buckets(keys: DataFrame, bucket_size: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """``keys`` (canon, ...) with ``bucket``, a prefix of canon; and (bucket, rows) of all buckets.
 
     Begins with one bucket. Each round counts the buckets and splits those beyond ``bucket_size`` by the characters that
-    follow their longest common prefix, found from their least and greatest text. A bucket whose texts are all equal can't
-    be split and needn't be: equal texts were combined before. The table of splits has at most keys / bucket_size rows.
+    follow their longest common prefix, found from their least and greatest text: one character in the first round and twice
+    as many in each further one, so that the rounds are few however deep the texts agree. A bucket whose texts are all equal
+    can't be split and needn't be: equal texts were combined before. The splits are a table like any other, broadcast only
+    where it is small; only the buckets on their way through the rounds are written again.
     """
-    keys = keys.withColumn("bucket", F.lit(""))
-    spark = keys.sparkSession
-    for _ in range(ROUNDS):
-        sizes = keys.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("canon").alias("lo"), F.max("canon").alias("hi"))
-        large = sizes.where((F.col("rows") > bucket_size) & (F.col("lo") != F.col("hi"))).select("bucket", "lo", "hi").collect()  # at most keys / bucket_size rows
-        if not large:
-            return keys, sizes.select("bucket", "rows")
-        splits = []
-        for r in large:
-            k = next((i for i, (x, y) in enumerate(zip(r.lo, r.hi, strict=False)) if x != y), min(len(r.lo), len(r.hi)))
-            splits.append((r.bucket, k + 1))
-        table = F.broadcast(spark.createDataFrame(splits, "old string, length int"))
-        keys = keys.join(table, keys["bucket"] == table["old"], "left").withColumn("bucket", F.when(F.col("length").isNotNull(), F.expr("substring(canon, 1, length)")).otherwise(F.col("bucket"))).drop("old", "length")
+    done, sizes_done = [], []
+    left = stored(keys.withColumn("bucket", F.lit("")), "keys")
+    for turn in range(ROUNDS):
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+        sizes = stored(sizes.withColumn("large", (F.col("rows") > bucket_size) & (F.col("lo") != F.col("hi"))), "sizes")
+        if sizes.where("large").isEmpty():
+            buckets, counts = left, sizes.select("bucket", "rows")
+            for k, n in zip(done, sizes_done, strict=True):
+                buckets, counts = buckets.unionAll(k), counts.unionAll(n)
+            return buckets, counts
+        letters = lambda c: F.split(c, "")
+        agree = F.array_position(F.zip_with(letters("lo"), letters("hi"), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        splits = checked_broadcast(sizes.where("large").select(F.col("bucket").alias("old"), (F.when(agree > 0, agree).otherwise(F.least(F.length("lo"), F.length("hi")) + 1) + (2**turn - 1)).cast("int").alias("upto")))
+        marked = left.join(splits, left["bucket"] == splits["old"], "left")
+        again = stored(marked.where("upto is not null").withColumn("bucket", F.expr("substring(canon, 1, upto)")).drop("old", "upto"), "keys")
+        done.append(stored(marked.where("upto is null").drop("old", "upto"), "keys"))
+        sizes_done.append(sizes.where("not large").select("bucket", "rows"))
+        forget(left)
+        left = again
     raise RuntimeError("the buckets didn't shrink")
 
 
 def collapse(df: DataFrame, row_id: str, texts: list[str], numbers: list[str], amount: str | None, bucket_size: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(first_row_id, copies, digest) of each distinct record, and (row_id, digest) of each row.
 
-    Records are equal when the forms of their fields are, as a multiset. Copies within a batch are combined before the
-    shuffle, so that a third of all rows being copies of one record sends a few rows a task. Null and empty fields are
-    equal; a row of nothing but nulls equals another such row; very long fields are compared whole; row ids are unique.
-    An empty table gives no rows; columns not named are ignored.
+    Records are equal when the forms of their fields are, as a multiset. Equal texts are counted by each task before any row
+    is sent, so that a third of all rows being copies of one record sends one row a task. Null and empty fields are equal; a
+    row of nothing but nulls equals another such row; very long fields are compared whole; row ids are unique. An empty table
+    gives no rows; columns not named are ignored.
     """
     rows = stored(canonical(df, row_id, texts, numbers, amount), "canonical")
-    combined = rows.select(F.lit("").alias("bucket"), "canon", F.lit(1).cast("long").alias("n"), F.col("row_id").cast("long").alias("least")).mapInPandas(lambda it: _count(it, True), COUNTED)
-    combined = stored(combined.drop("bucket"), "combined")
+    combined = rows.groupBy("canon").agg(F.count("*").alias("n"), F.min(F.col("row_id").cast("long")).alias("least"))
     keys, sizes = radix_buckets(combined, bucket_size)
-    total = combined.count()
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
     parts = max(1, -(-2 * total // bucket_size))
-    records = keys.select("bucket", "canon", "n", "least").repartition(parts, "bucket").mapInPandas(lambda it: _count(it, False), COUNTED)
+    records = keys.select("bucket", "canon", "n", "least").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_count, COUNTED)
     records = stored(records.select(F.col("least").alias("first_row_id"), F.col("n").alias("copies"), F.sha2("canon", 256).alias("digest")), "records")
     return records, rows.select("row_id", F.sha2("canon", 256).alias("digest"))
 
