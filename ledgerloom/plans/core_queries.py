@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.diff import diff_filings
 from ledgerloom.operators.hierarchy import descendants, hierarchy
 from ledgerloom.operators.instants import TARGET, normalise
-from ledgerloom.operators.rejects import load_lines, rejected_lines
+from ledgerloom.operators.rejects import load_lines, parse_lines, rejected_lines
 from ledgerloom.runtime import table
 
 STAMPS = (("je_entries", "line_id", "posted_timestamp", "stamp"), ("je_entries", "line_id", "effective_date", "date"), ("invoices", "row_id", "invoice_date", "date"), ("po_receipts", "row_id", "receipt_date", "date"))
@@ -76,12 +76,23 @@ def p7_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_lines(table(spark, sf_dir, "raw_lines"))
 
 
+def planted_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of several records a text: each line of raw_lines without quotes and breaks, a line whose quote stays open, and the line again."""
+    plain = F.regexp_replace(F.coalesce("raw_text", F.lit("")), '["\r\n]', " ")
+    return table(spark, sf_dir, "raw_lines").select("line_id", "feed", F.concat(plain, F.lit('\n"broken,x\n'), plain).alias("raw_text"))
+
+
+def p7_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a feed with planted breaks: what was lost, and what loads again behind each anchor."""
+    return parse_lines(planted_feed(spark, sf_dir)).select("line_id", "record", "start", F.coalesce("reason", F.lit("loaded")).alias("outcome"), F.array_join("fields", "|").alias("fields"))
+
+
 def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid lines of the three feeds, typed."""
     return load_lines(table(spark, sf_dir, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p6_found, p6_unreadable, p7_found, p7_errors, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p6_found, p6_unreadable, p7_found, p7_errors, p7_recovered, p7_loaded)}
 
 _NUM = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+"
 
@@ -108,18 +119,25 @@ _AT = {"entries": (6, 7), "invoices": (8,), "aging": (5,)}
 _MONEY = f"(?i)\\s*(?:-|--|n/a|(?:-\\s*\\$?|\\$?\\s*-?)\\s*(?:{_NUM})|\\$?\\s*(?:{_NUM})\\s*-|\\(\\s*\\$?\\s*(?:{_NUM})\\s*\\))?\\s*"
 
 
-def _rejects_sql() -> str:
+def _rejects_sql(only: bool = True, rows: str = "raw_lines") -> str:
     def value(k: int) -> str:
         return f"regexp_replace(regexp_extract(raw_text, '^(?:{_FIELD},){{{k}}}({_FIELD})', 1), '^\"|\"$', '', 'g')"
 
     count = " OR ".join(f"feed = '{f}' AND NOT regexp_full_match(raw_text, '{_FIELD}(?:,{_FIELD}){{{n - 1}}}')" for f, n in _COUNTS.items())
     wrong = " OR ".join(f"feed = '{f}' AND NOT regexp_full_match({value(k)}, '{_MONEY}')" for f, ks in _AT.items() for k in ks)
     reason = f"CASE WHEN NOT regexp_full_match(raw_text, '{_FIELD}(?:,{_FIELD})*') THEN 'quoting' WHEN {count} THEN 'column_count' WHEN {wrong} THEN 'invalid_value' END"
-    return f"SELECT * FROM (SELECT line_id, {reason} AS reason FROM raw_lines) WHERE reason IS NOT NULL"
+    return f"SELECT * FROM (SELECT line_id, {reason} AS reason FROM {rows}) WHERE reason IS NOT NULL" if only else f"SELECT line_id, raw_text, {reason} AS reason FROM {rows}"
+
+
+_RECOVERED = f"""WITH p AS (SELECT line_id, feed, regexp_replace(coalesce(raw_text, ''), '["\\r\\n]', ' ', 'g') AS raw_text FROM raw_lines), r AS ({_rejects_sql(False, "p")})
+SELECT line_id, CAST(1 AS INTEGER) AS record, 1::BIGINT AS start, coalesce(reason, 'loaded') AS outcome, CASE WHEN reason IS NULL THEN replace(raw_text, ',', '|') END AS fields FROM r
+UNION ALL SELECT line_id, 2, length(raw_text) + 2, 'quoting', NULL FROM r
+UNION ALL SELECT line_id, 3, length(raw_text) + 12, coalesce(reason, 'loaded'), CASE WHEN reason IS NULL THEN replace(raw_text, ',', '|') END FROM r WHERE reason IS NULL OR reason <> 'column_count'"""
 
 
 SQL = {
     "p7_found": _rejects_sql(),
+    "p7_recovered": _RECOVERED,
     "p3_found": _diff_sql(),
     "p4_found": _TREE + " SELECT n AS field_id, node AS root_field_id, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, least, -1 FROM rings",
     "p4_paths": _TREE + " SELECT n AS field_id, array_to_string(list_reverse(trail), ' > ') AS path, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, NULL, -1 FROM rings",

@@ -1,10 +1,11 @@
 import csv
 import io
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.operators.rejects import Parser, is_money_text, load_lines, read_record, rejected_lines
+from ledgerloom.operators.rejects import Parser, is_money_text, load_lines, parse_lines, read_record, rejected_lines, rejected_records
 
 GOOD = 'Firm "X",S-1,2025-01-01,2025-02-01,10.00,"$1,234.50-",1-30,30,trade'
 
@@ -21,6 +22,31 @@ def test_reasons_in_order(spark):
     assert str(loaded[1].open_balance) == "-1234.50" and str(loaded[2].open_balance) == "-12.00" and loaded[11].customer == "two\nlines" and loaded[12].debit is None
 
 
+def test_good_records_behind_a_broken_one_load(spark):
+    bad, broken = GOOD.replace('"$1,234.50-"', "1O.00"), 'Firm,"S-1,2025-01-01'
+    data = [(1, "aging", 'c,"bad,x\n' + GOOD), (2, "aging", f"{GOOD}\n{broken}\nrest\n{GOOD}\n{bad}\n"), (3, "aging", broken + "\na,b\nc,d"), (4, "aging", f"{GOOD}\n{GOOD}"), (5, "aging", f"{bad}\na,b\n{broken}")]
+    lines = spark.createDataFrame([(*d, "clash") for d in data], "line_id long, feed string, raw_text string, record string")
+    rows = {}
+    for r in parse_lines(lines).orderBy("line_id", "record").collect():
+        rows.setdefault(r.line_id, []).append(r.reason or "loaded")
+    assert rows == {1: ["quoting", "loaded"], 2: ["loaded", "quoting", "loaded", "invalid_value"], 3: ["quoting"], 4: ["loaded", "loaded"], 5: ["invalid_value", "column_count", "quoting"]}
+    at = {(r.line_id, r.record): r.start for r in parse_lines(lines).collect()}
+    assert at[1, 2] == len('c,"bad,x\n') + 1 and at[4, 2] == len(GOOD) + 2
+    assert {(r.line_id, r.reason) for r in rejected_lines(lines).collect()} == {(1, "quoting"), (2, "quoting"), (3, "quoting"), (5, "quoting")}
+    assert rejected_records(lines).count() == 7 and load_lines(lines).count() == 5
+
+
+def test_values_that_cannot_be_read_are_named(spark):
+    lines = spark.createDataFrame([(1, "aging", "c,i,d,d,abc,5,1-30,zzz,t"), (2, "invoices", "n,v,d,p,x1,i,1.5,nope,3,n/a,r"), (3, "aging", "c,i,d,d,7,5,1-30,30,t"), (4, "aging", "c,i,d,d,,5,1-30, ,t")], "line_id long, feed string, raw_text string")
+    assert {r.line_id: sorted(r.unread) for r in load_lines(lines).collect()} == {1: ["original_amount", "terms_days"], 2: ["po_line", "unit_price"], 3: [], 4: []}
+
+
+def test_an_open_quote_before_many_lines_is_read_once():
+    text = "".join(f'a,"{i}x" y\n' for i in range(5_000)) + 'b,"never closed\n' + "c\n" * 60_000
+    began = time.time()
+    assert read_record(text, "aging")[1] == "quoting" and time.time() - began < 20
+
+
 def test_empty_table(spark):
     assert rejected_lines(spark.createDataFrame([], "line_id long, feed string, raw_text string")).collect() == []
 
