@@ -1,14 +1,19 @@
 """Matching the two legs of one transfer, each booked by one side without a common number: a cascade of joins.
 
 Every rule joins the sets of alike legs still open on fewer or coarser attributes than the one before, pairs legs of sets in
-the order of the pairs' ranks until it has no further pair, and takes them out of the pool. A leg that cites the other side's document is a labelled case:
-the share of a rule's labelled pairs that it got right, smoothed, is the confidence of all its pairs.
+the order of the pairs' ranks until it has no further pair, and takes them out of the pool. Equal attributes are equi-joins; where a rule
+allows a span of days or of amounts, the join is on the span's or the amount step's number.
+
+A leg that cites the other side's document is a labelled case. Each rule is tried on its labelled cases with the citations held
+out: the candidate it would then take is right or wrong by the citation. The share of right ones, smoothed towards that of all
+rules, is the confidence of the rule's pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,7 +69,8 @@ def describe(legs: DataFrame) -> DataFrame:
     return legs.withColumns({"cited": F.when(cited != "", cited), "month": month, "kind": kind, "sites": F.array_sort(F.array_distinct(F.transform(sites, letters)))})
 
 
-def _legs(df: DataFrame) -> DataFrame:
+def _legs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The legs with all that the rules look at, and the table they are read from."""
     amount = F.col("amount").cast("decimal(38,2)")
     # The scale of amounts on which the tolerance is one step at every size.
     size = F.abs(amount).cast("double")
@@ -74,14 +80,14 @@ def _legs(df: DataFrame) -> DataFrame:
         (amount > 0).alias("debit"), F.abs(amount).alias("amount"), F.col("date").cast("date").alias("date"), F.col("description").alias("description"),
         F.when(F.col("doc_id").isNotNull(), F.regexp_extract("doc_id", r"(\d+)$", 1)).alias("number"), F.floor(step).cast("long").alias("step"), F.array_join(F.array_sort(F.split(F.abs(amount).cast("string"), "")), "").alias("digits"),
     )
-    legs = describe(legs).drop("description")
+    legs = described = stored(describe(legs).drop("description"), "described")
     # A number that some leg of the other side cites makes its leg unlike others.
     calls = legs.where("cited is not null").select("pair", (~F.col("debit")).alias("debit"), F.col("cited").alias("number"), F.col("cited").alias("called")).distinct()
     # So does one of the same digits, which may be a slip, and one where others have none.
     sorted_digits = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     slips = calls.select("pair", "debit", sorted_digits("called").alias("slip")).distinct()
     legs = legs.join(calls, ["pair", "debit", "number"], "left").withColumn("_sorted", sorted_digits("number")).withColumn("unnumbered", F.col("number").isNull())
-    return legs.join(slips.withColumn("_sorted", F.col("slip")), ["pair", "debit", "_sorted"], "left").drop("_sorted")
+    return legs.join(slips.withColumn("_sorted", F.col("slip")), ["pair", "debit", "_sorted"], "left").drop("_sorted"), described
 
 
 @dataclass(frozen=True)
@@ -114,16 +120,20 @@ def _numbered(legs: DataFrame) -> DataFrame:
     A set of over HOT such legs is cut into ranges of ids, which are numbered each for itself and offset by the ranges before.
     """
     keys = ["pair", "debit", "amount", "date", "kind", "sites", "month", "cited", "called", "slip", "unnumbered"]
-    digest = legs.withColumn("alike", F.md5(F.to_json(F.struct(*keys))))
+    digest = stored(legs.withColumn("alike", F.md5(F.to_json(F.struct(*keys)))), "alike")
     # At most one set for each HOT rows.
-    hot = digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike")
+    hot = stored(digest.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("alike"), "hot")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("leg_id"))
+    cold = digest.join(F.broadcast(hot), "alike", "left_anti").withColumn("nth", nth("alike").cast("long"))
     cuts = digest.join(F.broadcast(hot), "alike").groupBy("alike").agg(F.percentile_approx("leg_id", [i / SALTS for i in range(1, SALTS)]).alias("cuts"))
-    salted = digest.join(F.broadcast(cuts), "alike", "left").withColumn("salt", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("leg_id"))), F.lit(0)))
-    sizes = salted.where("cuts is not null").groupBy("alike", "salt").agg(F.count("*").alias("n"))
+    salted = digest.join(F.broadcast(cuts), "alike").withColumn("salt", F.size(F.filter("cuts", lambda c: c < F.col("leg_id")))).drop("cuts")
+    sizes = salted.groupBy("alike", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("alike").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("alike", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # SALTS rows for each hot set
-    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("alike", "salt").orderBy("leg_id")))
-    return ranked.join(F.broadcast(offsets), ["alike", "salt"], "left").withColumn("nth", F.col("nth") + F.coalesce("offset", F.lit(0))).drop("salt", "cuts", "offset")
+    ranked = salted.withColumn("nth", nth("alike", "salt")).join(F.broadcast(offsets), ["alike", "salt"])
+    numbered = stored(cold.unionByName(ranked.withColumn("nth", F.col("nth") + F.col("offset")).drop("salt", "offset")), "legs")
+    forget(digest, hot)
+    return numbered
 
 
 def _sets(legs: DataFrame) -> DataFrame:
@@ -163,32 +173,38 @@ def _candidates(pool: DataFrame, rule: Rule) -> DataFrame:
     against = differ("month") | differ("kind")
     needed = {"site": site, "kind": kind, "cited": cites, "none": F.lit(True)}[rule.needs]
     pairs = a.join(b, on).where((off <= rule.days) & allowed & needed & (F.lit(rule.needs == "cited") | ~against))
-    agree = F.coalesce(site.cast("int"), F.lit(0)) * 2 + F.coalesce(kind.cast("int"), F.lit(0)) + F.coalesce((F.col("a_month") == F.col("b_month")).cast("int"), F.lit(0)) + cites.cast("int") * 8
-    ranks = [F.round(gap * 100).cast("long").alias("gap"), (-agree).alias("against"), off.alias("off"), F.least("a_set", "b_set").alias("lo"), F.greatest("a_set", "b_set").alias("hi")]
+    agree = F.coalesce(site.cast("int"), F.lit(0)) * 2 + F.coalesce(kind.cast("int"), F.lit(0)) + F.coalesce((F.col("a_month") == F.col("b_month")).cast("int"), F.lit(0))
+    ranks = [F.round(gap * 100).cast("long").alias("gap"), (-agree - cites.cast("int") * 8).alias("against"), (-agree).alias("blind"), off.alias("off"), F.least("a_set", "b_set").alias("lo"), F.greatest("a_set", "b_set").alias("hi")]
     room = [x for side in ("a", "b") for x in (F.col(f"{side}_used").alias(f"{side}_used"), (F.col(f"{side}_n") - F.col(f"{side}_used")).alias(f"{side}_open"))]
     return pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b"), F.xxhash64("a_pair").alias("of"), *ranks, *room, cites.alias("cites"), wrong.alias("wrong"))
 
 
-_SHARE = "a long, b long, a_used long, b_used long, k long, cites boolean"
+def _trial(pairs: DataFrame) -> tuple[int, int]:
+    """(right, wrong): what a rule takes first for each labelled set if nothing is said about citations."""
+    first = pairs.groupBy("a").agg(F.min_by(F.struct("cites", "wrong"), F.struct("gap", "blind", "off", "lo", "hi")).alias("x"))
+    return tuple(first.agg(F.count_if("x.cites"), F.count_if("x.wrong")).first())
+
+
+_SHARE = "a long, b long, a_used long, b_used long, k long"
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The best pair of sets first, as the rows are sorted: as many legs as both have open are paired."""
     done: dict[int, int] = {}
-    columns = ["a", "b", "a_used", "b_used", "a_open", "b_open", "cites"]
+    columns = ["a", "b", "a_used", "b_used", "a_open", "b_open"]
     for f in frames:
         out = []
-        for a, b, a_used, b_used, a_open, b_open, cites in zip(*[f[c].tolist() for c in columns], strict=True):
+        for a, b, a_used, b_used, a_open, b_open in zip(*[f[c].tolist() for c in columns], strict=True):
             x, y = done.get(a, 0), done.get(b, 0)
             k = min(a_open - x, b_open - y)
             if k > 0:
                 done[a], done[b] = x + k, y + k
-                out.append((a, b, a_used + x, b_used + y, k, cites))
-        yield pd.DataFrame(out, columns=["a", "b", "a_used", "b_used", "k", "cites"])
+                out.append((a, b, a_used + x, b_used + y, k))
+        yield pd.DataFrame(out, columns=["a", "b", "a_used", "b_used", "k"])
 
 
 def _shares(pairs: DataFrame) -> DataFrame:
-    """(a, b, a_used, b_used, k, cites): pairs of sets by rank until none is left of which both have open legs; k legs of each, after those used.
+    """(a, b, a_used, b_used, k): pairs of sets by rank until none is left of which both have open legs; k legs of each, after those used.
 
     To take the best pair first, and to take all that are each other's best and repeat, comes to the same. The latter is done
     while one pair of entities has over CROWD candidates; what remains is taken in order.
@@ -198,7 +214,7 @@ def _shares(pairs: DataFrame) -> DataFrame:
     while not pairs.groupBy("of").count().where(F.col("count") > CROWD).isEmpty():
         best = lambda x, y: pairs.groupBy(x).agg(F.min_by(y, rank).alias(y))  # noqa: B023, E731
         k = F.least("a_open", "b_open")
-        chosen = stored(pairs.join(best("a", "b"), ["a", "b"]).join(best("b", "a"), ["a", "b"]).select("a", "b", "a_used", "b_used", k.alias("k"), "cites"), "shares")
+        chosen = stored(pairs.join(best("a", "b"), ["a", "b"]).join(best("b", "a"), ["a", "b"]).select("a", "b", "a_used", "b_used", k.alias("k")), "shares")
         rounds.append(chosen)
         left = pairs
         for x in ("a", "b"):
@@ -221,33 +237,50 @@ def match_legs(df: DataFrame, cascade: tuple[Rule, ...] = CASCADE) -> DataFrame:
     or amount, and those of amount zero, are in no pair; null documents and descriptions say nothing. Ties go to the
     set of alike legs with the smaller ids, equal legs are paired one by one in the order of their ids. An empty table gives no rows; other columns are ignored.
     """
-    legs = stored(_numbered(_legs(df)), "legs")
+    legs, described = _legs(df)
+    legs = _numbered(legs)
+    forget(described)
     sets = stored(_sets(legs), "sets")
-    pool, found = sets, []
+    pool, found, trials = sets, [], []
     for turn, rule in enumerate(cascade):
         pairs = stored(_candidates(pool, rule), "candidates")
-        # What the rule would have paired had nothing been cited: its labelled failures.
-        missed = pairs.where("wrong").join(pairs.where("not wrong").select("a").distinct(), "a", "left_anti").groupBy("a").agg(F.least(F.first("a_open"), F.sum("b_open")).alias("k"), F.min("b").alias("b"))
-        missed = stored(missed.select("a", "b", F.lit(None).cast("long").alias("a_used"), F.lit(None).cast("long").alias("b_used"), "k", F.lit(False).alias("cites"), F.lit(False).alias("kept"), F.lit(rule.name).alias("rule")), "missed")
-        shares = stored(_shares(pairs).withColumn("kept", F.lit(True)).withColumn("rule", F.lit(rule.name)), "shares")
-        found += [shares, missed]
+        if pairs.isEmpty():
+            trials.append((rule.name, 0, 0))
+            forget(pairs)
+            continue
+        trials.append((rule.name, *_trial(pairs)))
+        found.append(stored(_shares(pairs).withColumn("rule", F.lit(rule.name)), "shares"))
         forget(pairs)
         if turn < len(cascade) - 1:
-            taken = shares.select(F.explode(F.array("a", "b")).alias("set"), "k").groupBy("set").agg(F.sum("k").alias("_k"))
+            taken = found[-1].select(F.explode(F.array("a", "b")).alias("set"), "k").groupBy("set").agg(F.sum("k").alias("_k"))
             rest = stored(pool.join(taken, "set", "left").withColumn("used", F.col("used") + F.coalesce("_k", F.lit(0))).drop("_k").where("used < n"), "pool")
             if pool is not sets:
                 forget(pool)
             pool = rest
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionAll(f)
-    # One row a rule: labelled pairs it got right, of those it would have made; the prior is one right of two.
-    n = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
-    precision = every.groupBy("rule").agg(((n(F.col("kept") & F.col("cites")) + 1) / (n(F.col("cites") | ~F.col("kept")) + 2)).alias("confidence"))
     # Each share by its first side's legs, the n-th of which meets the n-th of the other side's.
     members = legs.join(sets.select("alike", "set"), "alike").select("set", "nth", "leg_id")
-    shared = every.where("kept").drop("cites", "kept")
+    shared = reduce(DataFrame.unionAll, found) if found else df.sparkSession.createDataFrame([], _SHARE + ", rule string")
     one = shared.join(members, (F.col("a") == F.col("set")) & (F.col("nth") > F.col("a_used")) & (F.col("nth") <= F.col("a_used") + F.col("k")))
     one = one.select("b", (F.col("b_used") + F.col("nth") - F.col("a_used")).alias("b_nth"), "rule", F.col("leg_id").alias("one"))
     both = one.join(members, (F.col("b") == F.col("set")) & (F.col("b_nth") == F.col("nth")))
-    return both.join(F.broadcast(precision), "rule").select(F.least("one", "leg_id").alias("leg_id_a"), F.greatest("one", "leg_id").alias("leg_id_b"), "rule", F.round("confidence", 4).alias("confidence"))
+    sure = df.sparkSession.createDataFrame(precision(trials), "rule string, confidence double")
+    out = both.join(F.broadcast(sure), "rule").select(F.least("one", "leg_id").alias("leg_id_a"), F.greatest("one", "leg_id").alias("leg_id_b"), "rule", "confidence")
+    out = stored(out, "pairs")
+    forget(legs, sets, *found)
+    return out
+
+
+def precision(trials: list[tuple[str, int, int]]) -> list[tuple[str, float]]:
+    """(rule, confidence) of (rule, right, wrong) in the order of the cascade: the share of right cases, one right of two added.
+
+    A rule asks for less than those before it, so it isn't given more confidence: rules that would be are taken together with
+    the rule before, cases and all. A rule without cases thus never ranks above one that was tried.
+    """
+    pools: list[list] = []
+    share = lambda p: (p[1] + 1) / (p[1] + p[2] + 2)
+    for rule, right, wrong in trials:
+        pools.append([[rule], right, wrong])
+        while len(pools) > 1 and share(pools[-1]) > share(pools[-2]):
+            rules, r, w = pools.pop()
+            pools[-1] = [pools[-1][0] + rules, pools[-1][1] + r, pools[-1][2] + w]
+    return [(rule, round(share(p), 4)) for p in pools for rule in p[0]]

@@ -37,7 +37,7 @@ def test_equal_legs_are_paired_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(mirror_legs, "HOT", 10)
     monkeypatch.setattr(mirror_legs, "SALTS", 2)
     salted = matched(spark, legs)
-    assert len({x for p in salted for x in p}) == 2 * len(salted) and len(salted) >= 45
+    assert len({x for p in salted for x in p}) == 2 * len(salted) == 100
 
 
 def test_hot_sets_are_paired_completely(spark, monkeypatch):
@@ -64,3 +64,22 @@ def test_confidence_and_empty(spark):
     (r,) = match_legs(spark.createDataFrame(legs, SCHEMA)).collect()
     assert (r.rule, r.confidence) == ("amount_date_site", 0.6667)
     assert match_legs(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_confidence_is_the_share_of_cases_a_rule_gets_right_without_their_citations(spark):
+    legs = []
+    for k in range(8):  # exact rule: the cited leg is the only one
+        legs += [leg(10 * k, f"A{k}", "B", f"X-{10000 + k}", 0, "royalty Palow", "10.00"), leg(10 * k + 1, "B", f"A{k}", f"Y-{20000 + k}", 0, f"royalty Palow ref {10000 + k}", "-10.00")]
+    for k in range(8):  # nearest amount: another leg is nearer than the cited one in six of eight cases
+        i = 1000 + 10 * k
+        legs += [leg(i, f"C{k}", "D", f"X-{30000 + k}", 0, None, "500.00"), leg(i + 1, "D", f"C{k}", f"Y-{40000 + k}", 1, f"ref {30000 + k}", "-503.00")]
+        legs += [leg(i + 2, "D", f"C{k}", f"Y-{50000 + k}", 1, "ref 99999", "-501.00")] if k < 6 else []
+    got = {(r.leg_id_a, r.leg_id_b): (r.rule, r.confidence) for r in match_legs(spark.createDataFrame(legs, SCHEMA)).collect()}
+    assert {(10 * k, 10 * k + 1) for k in range(8)} | {(1000 + 10 * k, 1001 + 10 * k) for k in range(8)} == set(got)  # citations still decide the pairs
+    exact, near = got[0, 1], got[1000, 1001]
+    assert exact[0] == "amount_date_site" and near[0] == "near_amount" and (exact[1], near[1]) == (0.9, 0.3)
+
+
+def test_no_rule_is_surer_than_a_stricter_one():
+    assert mirror_legs.precision([("a", 8, 0), ("b", 98, 0), ("c", 9, 9), ("d", 0, 0), ("e", 5, 1)]) == [("a", 0.9907), ("b", 0.9907), ("c", 0.5769), ("d", 0.5769), ("e", 0.5769)]
+    assert mirror_legs.precision([]) == []
