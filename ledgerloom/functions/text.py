@@ -54,3 +54,19 @@ def parsed_sum(c: Column, separator: str = ";", kind: str = "decimal(18,2)") ->
     """Sum of the numbers in a delimited cell; null where it has none."""
     parts = F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x).try_cast(kind)), lambda x: x.isNotNull())
     return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)")))
+
+
+def account_key(name: Column) -> Column:
+    """An account's name without case, punctuation and a number at its end; ``&`` is ``and``. Null is an empty text."""
+    flat = F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit("and")), r"[^a-z0-9]+", " "))
+    return F.regexp_replace(flat, r" +\d+$", "")
+
+
+def payer_key(name: Column) -> Column:
+    """A payer's name in lower case without points and commas, blanks squeezed."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), "[.,]", "")), r"\s+", " "))
+
+
+def number_key(number: Column) -> Column:
+    """Letters and digits of a document number, in lower case."""
+    return F.regexp_replace(F.lower(F.coalesce(number, F.lit(""))), "[^a-z0-9]", "")

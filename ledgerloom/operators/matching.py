@@ -89,8 +89,9 @@ def match_ledgers(bank: DataFrame, book: DataFrame, days: int = 5, least: float
 def allocate(deposits: DataFrame, invoices: DataFrame) -> DataFrame:
     """(deposit_id, invoice_id, applied): deposits of a customer applied to its oldest open invoices, both in order, until either is used up.
 
-    Both sides' running totals mark one line; between two marks that follow each other lies one deposit and one invoice.
-    Amounts of zero and less take no part. One sort by customer does it; no deposit meets all invoices.
+    Both sides' running totals mark one line; between two marks that follow each other lies one deposit and one invoice, those
+    whose marks come next. Amounts of zero and less take no part. One sort by customer, from the last mark back, and running
+    frames do it; no deposit meets all invoices.
     """
 
     def marks(df: DataFrame, i: str, amount: str) -> DataFrame:
@@ -98,7 +99,7 @@ def allocate(deposits: DataFrame, invoices: DataFrame) -> DataFrame:
         return df.where(F.col("customer").isNotNull() & (F.col(amount) > 0)).select("customer", F.sum(amount).over(w).alias("mark"), F.col(i).alias(i))
 
     line = marks(deposits, "deposit_id", "amount").unionByName(marks(invoices, "invoice_id", "open"), allowMissingColumns=True)
-    order = Window.partitionBy("customer").orderBy("mark", "deposit_id", "invoice_id")
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    parts = line.select(F.first("deposit_id", True).over(ahead).alias("deposit_id"), F.first("invoice_id", True).over(ahead).alias("invoice_id"), (F.col("mark") - F.coalesce(F.lag("mark").over(order), F.lit(0))).alias("applied"))
+    back = Window.partitionBy("customer").orderBy(F.col("mark").desc(), F.col("deposit_id").desc_nulls_last(), F.col("invoice_id").desc_nulls_last())
+    upto = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = line.select(F.last("deposit_id", True).over(upto).alias("deposit_id"), F.last("invoice_id", True).over(upto).alias("invoice_id"), (F.col("mark") - F.coalesce(F.lead("mark").over(back), F.lit(0))).alias("applied"))
     return parts.where("applied > 0 and deposit_id is not null and invoice_id is not null")
