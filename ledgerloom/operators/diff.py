@@ -45,12 +45,13 @@ def signed_cells(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Call
     return counts.agg(F.sum((F.col("sign") > 0).cast("long")).alias("in_a"), F.sum((F.col("sign") < 0).cast("long")).alias("in_b"))
 
 
-def diff_copies(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def diff_copies(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Callable[[Column], Column]], multiplicity: bool = False) -> DataFrame:
     """Keys in one copy only, and fields whose contents differ: (key, diff, cells_a, cells_b).
 
     Unpivots both sides to key-field-content rows, unions them with signed counts and groups to find what is not cancelled.
     ``diff`` is ``only_a``, ``only_b`` or a column name; ``cells_a`` and ``cells_b`` count the differing rows of either side.
-    Rows repeated exactly count once, so a copy with repeats equals one without. Where a key has several rows of different
+    Rows repeated exactly count once, so a copy with repeats equals one without; with ``multiplicity``, a key in both that has
+    more rows in one is a ``count``, with its rows of either side. Where a key has several rows of different
     content, a field differs if the sets of contents differ. A null key is a key of its own, returned as an empty text. Empty
     tables give rows for the other side only; columns that are not named are ignored, whatever they are called. A hot key costs
     nothing extra: equal cells are counted before the shuffle and each key is reduced to flags.
@@ -66,6 +67,10 @@ def diff_copies(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Calla
     whole = F.col("field") == ""
     one_sided = (F.col("n_a") == 0) | (F.col("n_b") == 0)
     diff = F.when(whole & (F.col("n_b") == 0), F.lit("only_a")).when(whole & (F.col("n_a") == 0), F.lit("only_b")).when(~whole & ~one_sided & ((F.col("cells_a") > 0) | (F.col("cells_b") > 0)), F.col("field"))
+    if multiplicity:
+        uneven = whole & ~one_sided & (F.col("n_a") != F.col("n_b"))
+        diff = F.when(uneven, F.lit("count")).otherwise(diff)
+        by_field = by_field.withColumns({f"cells_{x}": F.when(uneven, F.col(f"n_{x}")).otherwise(F.col(f"cells_{x}")) for x in "ab"})
     return by_field.withColumn("diff", diff).where("diff is not null").select("key", "diff", "cells_a", "cells_b")
 
 

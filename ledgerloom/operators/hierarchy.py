@@ -2,7 +2,8 @@
 
 Every level of the recursion places the nodes in fragments of bounded size, contracts each parent chain inside a fragment
 to the point where it leaves the fragment, and keeps as the next, smaller forest only the nodes that some other fragment's
-chain enters. Leaves drop out of each level. A node with one child is placed, by a coin of its own, in the fragment of its
+chain enters. The first fragments are ranges of nodes, one a partition, so that chains of nodes named alike are contracted
+where they stand; further ones are set by hash. Leaves drop out of each level. A node with one child is placed, by a coin of its own, in the fragment of its
 child's side, so that long thin chains shrink by a constant share at each level, too. Once a forest fits in one fragment it
 is solved there, and the levels are expanded again in reverse with one join each.
 """
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import stored
+from ledgerloom.runtime import forget, stored
 
 #: Nodes of one fragment; the dictionaries of one take some 10 MB.
 FRAGMENT = 20_000
@@ -74,21 +75,26 @@ def _placed(forest: DataFrame, fragments: int, level: int) -> DataFrame:
     return forest.join(joins, "node", "left").withColumn("place", F.when(F.col("joins"), spot(F.col("parent"))).otherwise(spot(F.col("node")))).drop("joins")
 
 
-def _solve(forest: DataFrame, size: int, level: int, fragment: int, trails: bool) -> DataFrame:
+def _solve(forest: DataFrame, size: int, level: int, fragment: int, trails: bool, steps: list[DataFrame]) -> DataFrame:
     """(node, top, steps, cycle, trail) of each node of ``forest`` (node, parent, steps, low, trail; one row per node)."""
     if level > LEVELS:
         raise RuntimeError("the hierarchy didn't shrink")
     fragments = -(-size // fragment) if size > fragment else 1
-    placed = _placed(forest, fragments, level)
-    placed = placed.repartition(max(1, fragments), "place") if fragments > 1 else placed.repartition(1)
+    if fragments > 1 and level == 0:
+        placed = forest.repartitionByRange(fragments, "node").withColumn("place", F.lit(0).cast("long"))
+    else:
+        placed = _placed(forest, fragments, level)
+        placed = placed.repartition(fragments, "place") if fragments > 1 else placed.repartition(1)
     small = stored(placed.select("place", "node", "parent", "steps", "low", "trail").mapInPandas(lambda it: _contract(it, trails), CONTRACTED), f"fragments{level}")
+    steps.append(small)
     if fragments == 1:
         return small.select("node", "top", "steps", "cycle", "trail")
     entered = small.where("up is not null").select(F.col("up").alias("node")).distinct()
     quotient = stored(small.join(entered, "node", "left_semi").select("node", F.col("up").alias("parent"), "steps", "low", "trail", "top", "cycle"), f"quotient{level}")
+    steps.append(quotient)
     n = quotient.count()
     # Entries whose chain ended inside are the tops of the quotient; what they ended in is put back below.
-    above = _solve(quotient.select("node", "parent", "steps", "low", F.when(F.col("parent").isNotNull(), F.col("trail")).otherwise(F.array().cast("array<string>")).alias("trail")), n, level + 1, fragment, trails)
+    above = _solve(quotient.select("node", "parent", "steps", "low", F.when(F.col("parent").isNotNull(), F.col("trail")).otherwise(F.array().cast("array<string>")).alias("trail")), n, level + 1, fragment, trails, steps)
     ends = quotient.where("parent is null").select(F.col("node").alias("top"), F.col("top").alias("end_top"), F.col("steps").alias("end_steps"), F.col("cycle").alias("end_cycle"), F.col("trail").alias("end_trail"))
     joined_trail = (lambda a, b: F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))) if trails else (lambda a, b: F.lit(None).cast("array<string>"))
     solved = above.join(ends, "top", "left").select(
@@ -114,20 +120,31 @@ def hierarchy(links: DataFrame, parent: Column, child: Column, paths: bool = Fal
     smallest node of the circle as root, depth -1 and no path. ``path`` runs from the root to the node and is null unless
     ``paths``. Repeated links count once; a null child only states that the parent exists, a null parent that the child
     does; a row of two nulls states nothing. A child of several parents hangs under the smallest one, so that there is a
-    forest. Nodes compare as texts. An empty table gives no rows; further columns are ignored.
+    forest; :func:`other_parents` has the links left out. Nodes compare as texts. An empty table gives no rows; further columns are ignored.
     """
     pairs = links.select(parent.cast("string").alias("p"), child.cast("string").alias("c"))
     named = pairs.select(F.explode(F.array(F.struct(F.col("c").alias("node"), F.col("p").alias("parent")), F.struct(F.col("p").alias("node"), F.lit(None).cast("string").alias("parent")))).alias("x"))
     forest = named.select("x.*").where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
     forest = stored(forest.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("node").alias("low"), (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("trail")), "forest")
-    solved = _solve(forest, forest.count(), 0, fragment, paths)
+    steps = [forest]
+    solved = _solve(forest, forest.count(), 0, fragment, paths, steps)
     circled = F.col("cycle").isNotNull()
-    return solved.select(
+    tree = solved.select(
         "node",
         F.coalesce("cycle", "top").alias("root"),
         F.when(circled, -1).otherwise(F.col("steps")).cast("int").alias("depth"),
         F.when(~circled & F.lit(paths), F.reverse("trail")).alias("path"),
     )
+    tree = stored(tree, "tree")
+    forget(*steps)
+    return tree
+
+
+def other_parents(links: DataFrame, parent: Column, child: Column) -> DataFrame:
+    """(child, parent, other): links that a forest has no room for: each further parent of a child that hangs under another."""
+    pairs = links.select(parent.cast("string").alias("other"), child.cast("string").alias("child")).dropna()
+    least = pairs.groupBy("child").agg(F.min("other").alias("parent"), F.max("other").alias("most")).where("parent != most").drop("most")
+    return pairs.distinct().join(least, "child").where("other != parent").select("child", "parent", "other")
 
 
 def descendants(links: DataFrame, parent: Column, child: Column, fragment: int = FRAGMENT) -> DataFrame:

@@ -83,7 +83,8 @@ TARGET = {"stamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$", "date": r"^\d{4}-\
 def dictionary(values: DataFrame, kept: str | None = None) -> DataFrame:
     """(kind, raw, zone, date_order, norm) of each distinct text of ``values`` (kind ``stamp`` or ``date``, raw, zone, date_order).
 
-    With ``kept``, a folder, only texts that it doesn't hold yet are parsed, and they are appended to it.
+    With ``kept``, a folder, only texts that it doesn't hold yet are parsed, and they are appended to it. Two writers may add
+    the same text; it is read once.
     """
     spark = values.sparkSession
     keys = ["kind", "raw", "zone", "date_order"]
@@ -98,7 +99,7 @@ def dictionary(values: DataFrame, kept: str | None = None) -> DataFrame:
     if not kept:
         return stored(parsed, "stamps")
     parsed.write.mode("append").parquet(kept)
-    return spark.read.parquet(kept)
+    return spark.read.parquet(kept).dropDuplicates(keys)
 
 
 def normalise(values: DataFrame, kept: str | None = None) -> DataFrame:
@@ -112,3 +113,15 @@ def normalise(values: DataFrame, kept: str | None = None) -> DataFrame:
     known = dictionary(v, kept).select(*[F.col(k).alias(f"_d_{k}") for k in ("kind", "raw", "zone", "date_order")], F.col("norm"))
     on = (v["kind"] == known["_d_kind"]) & (v["raw"] == known["_d_raw"]) & (F.coalesce(v["zone"], F.lit("")) == F.coalesce(known["_d_zone"], F.lit(""))) & (F.coalesce(v["date_order"], F.lit("")) == F.coalesce(known["_d_date_order"], F.lit("")))
     return v.join(known, on, "left").drop("_d_kind", "_d_raw", "_d_zone", "_d_date_order")
+
+
+def read_times(rows: DataFrame, column: str, systems: DataFrame, kind: str = "date", name: str = "day") -> DataFrame:
+    """``rows`` (source, ...) with ``name``: the day, or the UTC instant of a ``stamp``, of the texts in ``column``; null where unreadable.
+
+    ``systems`` (source, tz_name, date_order) has a row a source and is broadcast.
+    """
+    order = systems.groupBy(F.col("source").alias("_source")).agg(F.first("tz_name").alias("zone"), F.first("date_order").alias("date_order"))
+    joined = rows.join(F.broadcast(order), F.col("source") == F.col("_source"), "left").drop("_source")
+    done = normalise(joined.withColumns({"kind": F.lit(kind), "raw": F.col(column)}))
+    value = F.col("norm").try_cast("date") if kind == "date" else F.regexp_replace("norm", "Z", "").try_cast("timestamp_ntz")
+    return done.withColumn(name, value).drop("zone", "date_order", "kind", "raw", "norm")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +27,18 @@ def priority_join(left: DataFrame, left_id: str, candidates: list[tuple[DataFram
     """Each left row with ``columns`` of the first candidate that has its keys, and ``rank``, the candidate's number.
 
     A candidate is (table, keys, unique): ``unique`` takes only keys with one row in the table; other keys give their least
-    row. What one candidate resolves never meets the next. Null keys match nothing.
+    row. One left join a candidate, whose side has each key once, so that no row is multiplied. Null keys match nothing.
     """
-    out, rest = [], left
+    out, found = left.select(left_id, *dict.fromkeys(k for _, keys, _ in candidates for k in keys)), []
     for rank, (table, keys, unique) in enumerate(candidates, 1):
-        picked = table.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*columns)).alias("_row"))
+        picked = table.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*columns)).alias(f"_row{rank}"))
         if unique:
             picked = picked.where("_n = 1")
-        out.append(rest.join(picked, keys).select(left_id, *[F.col(f"_row.{c}").alias(c) for c in columns], F.lit(rank).alias("rank")))
-        rest = rest.join(out[-1].select(left_id), left_id, "left_anti")
-    out.append(rest.select(left_id, *[F.lit(None).cast(candidates[0][0].schema[c].dataType).alias(c) for c in columns], F.lit(None).cast("int").alias("rank")))
-    return reduce(DataFrame.unionByName, out)
+        out = out.join(picked.drop("_n"), keys, "left")
+        found.append((rank, F.col(f"_row{rank}")))
+    first = F.coalesce(*[row for _, row in found])
+    rank = F.coalesce(*[F.when(row.isNotNull(), rank) for rank, row in found])
+    return out.select(left_id, *[first[c].alias(c) for c in columns], rank.cast("int").alias("rank"))
 
 
 def exactly_one_range(rows: DataFrame, row_id: str, value: Column, ranges: list[tuple[str, object, object]]) -> DataFrame:

@@ -66,18 +66,31 @@ def streaks(rows: DataFrame, key: str, period: str) -> DataFrame:
 def annuity_schedule(payment: Column, rate: Column, periods: Column) -> Column:
     """Array of (period, interest, principal, balance) of level payments in arrears, in cents; the last period clears the balance.
 
-    Interest is rounded half up each period, so the recurrence isn't a window: it is folded through a sequence.
+    All in decimals, rounded half up: the present value from discount factors of twelve places, interest period by period.
+    The recurrence isn't a window, so it is folded through a sequence.
     """
     cents = lambda c: F.round(c, 2).cast("decimal(18,2)")
-    present = cents(F.aggregate(F.sequence(F.lit(1), periods), F.lit(0.0), lambda acc, k: acc + payment.cast("double") / F.pow(1 + rate, k)))
+    factor, growth = F.lit(1).cast("decimal(38,24)"), (1 + rate).cast("decimal(10,8)")
+    one = F.struct(factor.alias("factor"), F.lit(0).cast("decimal(30,12)").alias("sum"))
+
+    def discount(acc: Column, _: Column) -> Column:
+        f = (acc["factor"] / growth).cast("decimal(38,24)")
+        return F.struct(f.alias("factor"), (acc["sum"] + f.cast("decimal(30,12)")).cast("decimal(30,12)").alias("sum"))
+
+    present = cents((payment.cast("decimal(18,2)") * F.aggregate(F.sequence(F.lit(1), periods), one, discount, lambda acc: acc["sum"]).cast("decimal(18,12)")).cast("decimal(38,12)"))
     seed = F.struct(F.array().cast("array<struct<period:int,interest:decimal(18,2),principal:decimal(18,2),balance:decimal(18,2)>>").alias("rows"), present.alias("balance"))
 
     def step(acc: Column, k: Column) -> Column:
         last = k == periods
-        interest = F.when(last, cents(payment - acc["balance"])).otherwise(cents(acc["balance"].cast("double") * rate))
+        interest = F.when(last, cents(payment - acc["balance"])).otherwise(cents(acc["balance"] * rate))
         principal = F.when(last, acc["balance"]).otherwise(cents(payment - interest))
         balance = cents(acc["balance"] - principal)
         row = F.struct(k.cast("int").alias("period"), interest.alias("interest"), principal.alias("principal"), balance.alias("balance"))
         return F.struct(F.concat(acc["rows"], F.array(row)).alias("rows"), balance.alias("balance"))
 
     return F.aggregate(F.sequence(F.lit(1), periods), seed, step, lambda acc: acc["rows"])
+
+
+def level_charge(value: Column, periods: Column) -> Column:
+    """One period's part of ``value``, half up to the cent; null without periods."""
+    return F.when(periods > 0, F.round(value / periods, 2).cast("decimal(18,2)"))

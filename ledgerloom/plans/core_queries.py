@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.diff import diff_filings
-from ledgerloom.operators.hierarchy import descendants, hierarchy
-from ledgerloom.operators.instants import TARGET, normalise
+from ledgerloom.operators.diff import FILING_FIELDS, diff_copies, diff_filings, filing_key
+from ledgerloom.operators.hierarchy import descendants, hierarchy, other_parents
+from ledgerloom.operators.instants import TARGET, dictionary, normalise
 from ledgerloom.operators.rejects import load_lines, parse_lines, rejected_lines
-from ledgerloom.runtime import table
+from ledgerloom.plans.instants_sql import SYSTEMS, found_sql
+from ledgerloom.runtime import shared_dir, table
 
 STAMPS = (("je_entries", "line_id", "posted_timestamp", "stamp"), ("je_entries", "line_id", "effective_date", "date"), ("invoices", "row_id", "invoice_date", "date"), ("po_receipts", "row_id", "receipt_date", "date"))
 
@@ -21,7 +24,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differing cells of either copy by kind of difference."""
     found = diff_filings(table(spark, sf_dir, "version_a"), table(spark, sf_dir, "version_b"))
-    return found.groupBy("diff").agg(F.count("*").alias("fields"), F.sum("cells_a").alias("cells_a"), F.sum("cells_b").alias("cells_b"))
+    return found.groupBy("diff").agg(F.count("*").alias("fields"))
+
+
+def p3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of any kind, numbers of equal rows included, with how many rows of either copy differ."""
+    a, b = table(spark, sf_dir, "version_a"), table(spark, sf_dir, "version_b")
+    found = diff_copies(a, b, filing_key(F.col("field_id")), FILING_FIELDS, multiplicity=True).where("diff = 'count'")
+    return found.select(F.col("key").alias("field_id"), "cells_a", "cells_b")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +39,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("field_id"), F.col("root").alias("root_field_id"), "depth")
 
 
+def p4_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p4_found with small fragments, so that small tables, too, go through several levels."""
+    found = hierarchy(table(spark, sf_dir, "totals_map"), F.col("total_field_id"), F.col("component_field_id"), fragment=100)
+    return found.select(F.col("node").alias("field_id"), F.col("root").alias("root_field_id"), "depth")
+
+
+def p4_other_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to further totals of a component that already hangs under one."""
+    return other_parents(table(spark, sf_dir, "totals_map"), F.col("total_field_id"), F.col("component_field_id"))
+
+
 def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full path of each field from its topmost total; null on or beneath a circle."""
     found = hierarchy(table(spark, sf_dir, "totals_map"), F.col("total_field_id"), F.col("component_field_id"), paths=True)
@@ -67,6 +88,18 @@ def p6_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("src", state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs on one kept dictionary: the journal's texts, all texts, all texts again; how many each had to parse."""
+    folder, runs, held = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}", [], 0
+    every = stamp_values(spark, sf_dir, False)
+    for run, values in enumerate((every.where("src like 'je_entries.%'"), every, every), 1):
+        dictionary(values.withColumn("zone", F.when(F.col("kind") == "stamp", F.col("zone"))), kept=folder)
+        now = spark.read.parquet(folder).count()
+        runs.append((run, now - held, now))
+        held = now
+    return spark.createDataFrame(runs, "run int, parsed long, held long")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected_lines(table(spark, sf_dir, "raw_lines")).select("line_id", "reason")
 
@@ -92,7 +125,7 @@ def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_lines(table(spark, sf_dir, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_paths, p4_descendants, p6_found, p6_unreadable, p7_found, p7_errors, p7_recovered, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_copies, p4_found, p4_paths, p4_fragments, p4_other_parents, p4_descendants, p6_found, p6_unreadable, p6_kept, p7_found, p7_errors, p7_recovered, p7_loaded)}
 
 _NUM = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?|\.\d+"
 
@@ -135,11 +168,21 @@ UNION ALL SELECT line_id, 2, length(raw_text) + 2, 'quoting', NULL FROM r
 UNION ALL SELECT line_id, 3, length(raw_text) + 12, coalesce(reason, 'loaded'), CASE WHEN reason IS NULL THEN replace(raw_text, ',', '|') END FROM r WHERE reason IS NULL OR reason <> 'column_count'"""
 
 
+_KEPT = f"""WITH v AS (SELECT DISTINCT 's' AS kind, posted_timestamp AS raw, tz, o FROM je_entries LEFT JOIN {SYSTEMS} USING (source) WHERE posted_timestamp IS NOT NULL UNION SELECT 'd', effective_date, NULL, o FROM je_entries LEFT JOIN {SYSTEMS} USING (source) WHERE effective_date IS NOT NULL),
+w AS (SELECT * FROM v UNION SELECT 'd', invoice_date, NULL, o FROM invoices LEFT JOIN {SYSTEMS} USING (source) WHERE invoice_date IS NOT NULL UNION SELECT 'd', receipt_date, NULL, o FROM po_receipts LEFT JOIN {SYSTEMS} USING (source) WHERE receipt_date IS NOT NULL), a AS (SELECT (SELECT count(*) FROM v) AS x, (SELECT count(*) FROM w) AS y)
+SELECT CAST(1 AS INTEGER) AS run, x AS parsed, x AS held FROM a UNION ALL SELECT 2, y - x, y FROM a UNION ALL SELECT 3, 0, y FROM a"""
+
 SQL = {
+    "p6_kept": _KEPT,
+    "p6_found": found_sql(),
     "p7_found": _rejects_sql(),
     "p7_recovered": _RECOVERED,
     "p3_found": _diff_sql(),
     "p4_found": _TREE + " SELECT n AS field_id, node AS root_field_id, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, least, -1 FROM rings",
+    "p3_copies": "WITH a AS (SELECT upper(trim(field_id)) AS f, count(*) AS n FROM version_a GROUP BY 1), b AS (SELECT upper(trim(field_id)) AS f, count(*) AS n FROM version_b GROUP BY 1) SELECT f AS field_id, a.n AS cells_a, b.n AS cells_b FROM a JOIN b USING (f) WHERE a.n <> b.n",
+    "p4_fragments": _TREE + " SELECT n AS field_id, node AS root_field_id, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, least, -1 FROM rings",
+    "p4_other_parents": "WITH l AS (SELECT DISTINCT component_field_id AS child, total_field_id AS other FROM totals_map WHERE component_field_id IS NOT NULL AND total_field_id IS NOT NULL) SELECT child, parent, other FROM l JOIN (SELECT child, min(other) AS parent FROM l GROUP BY 1) USING (child) WHERE other <> parent",
+    "p3_counts": f"SELECT diff, count(*) AS fields FROM ({_diff_sql()}) GROUP BY 1",
     "p4_paths": _TREE + " SELECT n AS field_id, array_to_string(list_reverse(trail), ' > ') AS path, CAST(d AS INTEGER) AS depth FROM tops UNION ALL SELECT n, NULL, -1 FROM rings",
     "p4_descendants": _TREE + " SELECT up.node AS field_id, up.n AS below_field_id, CAST(up.d AS INTEGER) AS distance FROM up JOIN tops USING (n) WHERE up.d > 0",
 }

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, text
-from ledgerloom.gates import Result, gates, same_rows
+from ledgerloom.gates import Result, gates
 from ledgerloom.operators import aggregates, joins, predicates, windows
-from ledgerloom.operators.instants import normalise
+from ledgerloom.operators.instants import read_times
+from ledgerloom.plans.instants_sql import SYSTEMS, day_sql
 from ledgerloom.runtime import stored, table
 
 D = Decimal
@@ -22,10 +23,8 @@ def cents(c):
 
 def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices with a typed amount and a day; dates of every layout, in the day-month order of their source."""
-    systems = table(spark, sf_dir, "source_systems").groupBy("source").agg(F.first("date_order").alias("date_order"))
-    raw = table(spark, sf_dir, "invoices").join(F.broadcast(systems), "source", "left")  # source_systems has a fixed number of rows
-    inv = normalise(raw.withColumns({"kind": F.lit("date"), "raw": F.col("invoice_date"), "zone": F.lit(None).cast("string")}))
-    return inv.select("row_id", "invoice_no", "vendor", "po_no", "po_line", "item", "qty_billed", "unit_price", money.money(F.regexp_replace("extended_amount", r"^\s*\$\s*\(", "(")).alias("amount"), F.col("norm").try_cast("date").alias("day"))
+    inv = read_times(table(spark, sf_dir, "invoices"), "invoice_date", table(spark, sf_dir, "source_systems"))
+    return inv.select("row_id", "invoice_no", "vendor", "po_no", "po_line", "item", "qty_billed", "unit_price", money.money(F.regexp_replace("extended_amount", r"^\s*\$\s*\(", "(")).alias("amount"), "day")
 
 
 def duplicate_payments(rows: DataFrame, window: int = 45) -> DataFrame:
@@ -70,21 +69,23 @@ def three_way_match(invoices: DataFrame, orders: DataFrame, receipts: DataFrame,
     flags = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in tests.items()]), lambda x: x.isNotNull())
     lines = stored(j.select("row_id", "po_row", flags.alias("outcomes")), "three_way")
     n = lines.agg(F.count("*").alias("n"), F.count_if(F.size("outcomes") == 0).alias("clean")).withColumn("all", invoices.agg(F.count("*")).scalar())
-    proof = gates(invoices.sparkSession, [("every line has one disposition", n, F.col("all") - F.col("n"), F.col("all") == F.col("n")), ("no line appears twice", same_rows(lines.select("row_id"), lines.select("row_id").distinct()), F.col("missing"), F.col("missing") == 0)])
+    proof = gates(invoices.sparkSession, [("every line has one disposition", n, F.col("all") - F.col("n"), F.col("all") == F.col("n")), ("no line appears twice", lines.agg((F.count("row_id") - F.count_distinct("row_id")).alias("again")), F.col("again"), F.col("again") == 0)])
     unbilled = got.join(invoices.where("po_no is not null").groupBy("po_no", "po_line").agg(F.sum("qty_billed").alias("billed")), ["po_no", "po_line"], "left").withColumn("open", F.col("received") - F.coalesce("billed", F.lit(0))).where("open > 0")
     return Result({"lines": lines, "received_not_billed": unbilled.select("po_no", "po_line", cents("open").alias("open"))}, proof)
 
 
 def journal_flags(lines: DataFrame, thresholds: list[Decimal] | None = None) -> DataFrame:
-    """Entries with the tests they raise and the sum of the tests' weights: built from predicates on entries and three grouped sets."""
+    """Entries of ``lines`` (with ``day``, else of ISO dates) with the tests they raise and the sum of the tests' weights: built from predicates on entries and three grouped sets."""
     thresholds = thresholds or [D(5000), D(10000), D(50000)]
+    if "day" not in lines.columns:
+        lines = lines.withColumn("day", F.col("effective_date").try_cast("date"))
     head = aggregates.entry_headers(lines)
     most = lines.agg(F.greatest(F.lit(2), F.floor(F.count_distinct("entry_id") * 0.005))).scalar()
     rare = lines.groupBy("account").agg(F.count_distinct("entry_id").alias("uses")).where(F.col("uses") <= most).select("account")
     with_rare = lines.join(rare, "account", "left_semi").select("entry_id").distinct().withColumn("is_rare", F.lit(True))
-    amounts = lines.withColumn("a", F.coalesce(F.when(F.col("debit") != 0, F.col("debit")), F.col("credit"))).where("a != 0 and effective_date is not null").select("entry_id", "account", "a", "effective_date").distinct()
-    twice = amounts.groupBy("account", "a", "effective_date").agg(F.count("*").alias("n")).where("n > 1")
-    doubled = amounts.join(twice, ["account", "a", "effective_date"], "left_semi").select("entry_id").distinct().withColumn("is_double", F.lit(True))
+    amounts = lines.withColumn("a", F.coalesce(F.when(F.col("debit") != 0, F.col("debit")), F.col("credit"))).where("a != 0 and day is not null").select("entry_id", "account", "a", "day").distinct()
+    twice = amounts.groupBy("account", "a", "day").agg(F.count("*").alias("n")).where("n > 1")
+    doubled = amounts.join(twice, ["account", "a", "day"], "left_semi").select("entry_id").distinct().withColumn("is_double", F.lit(True))
     e = head.join(with_rare, "entry_id", "left").join(doubled, "entry_id", "left")
     tests = {
         "ROUND": (2, predicates.round_modulus(F.col("amount")).isNotNull()), "THRESHOLD": (5, predicates.just_below(F.col("amount"), thresholds).isNotNull()), "SELFAPPROVED": (4, F.col("posted_by") == F.col("approved_by")),
@@ -178,7 +179,7 @@ _AMOUNT = "CASE WHEN regexp_matches(extended_amount, '[0-9]') THEN CAST(CAST(reg
 _KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(lower(vendor), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('inc','llc','co','corp','ltd','company','incorporated','limited')), ' ')"
 
 
-@query(f"""WITH r AS (SELECT row_id, vendor, invoice_no, {_AMOUNT} AS amount, {_KEY} AS k, CASE WHEN regexp_full_match(trim(invoice_date), '\\d{{4}}-\\d\\d-\\d\\d') THEN try_cast(trim(invoice_date) AS DATE) END AS d FROM invoices), s AS (SELECT *, CASE WHEN invoice_no IS NULL THEN row_id ELSE min(row_id) OVER (PARTITION BY vendor, amount, invoice_no) END AS f FROM r WHERE vendor IS NOT NULL AND amount <> 0), o AS (SELECT * FROM s WHERE row_id = f)
+@query(f"""WITH r AS (SELECT row_id, vendor, invoice_no, {_AMOUNT} AS amount, {_KEY} AS k, {day_sql('invoice_date')} AS d FROM invoices LEFT JOIN {SYSTEMS} USING (source)), s AS (SELECT *, CASE WHEN invoice_no IS NULL THEN row_id ELSE min(row_id) OVER (PARTITION BY vendor, amount, invoice_no) END AS f FROM r WHERE vendor IS NOT NULL AND amount <> 0), o AS (SELECT * FROM s WHERE row_id = f)
 SELECT CAST(1 AS INTEGER) AS tier, f AS first_row, row_id AS other_row, amount FROM s WHERE row_id <> f
 UNION ALL SELECT 2, a.row_id, b.row_id, a.amount FROM o a JOIN o b ON a.vendor = b.vendor AND a.amount = b.amount AND a.row_id < b.row_id AND abs(date_diff('day', a.d, b.d)) <= 45
 UNION ALL SELECT 3, a.row_id, b.row_id, a.amount FROM o a JOIN o b ON a.k = b.k AND a.vendor <> b.vendor AND a.amount = b.amount AND a.row_id < b.row_id AND abs(date_diff('day', a.d, b.d)) <= 45""")
@@ -216,15 +217,15 @@ _ROUNDS = " OR ".join(f"(amount >= {m} AND amount <= {m * 20} AND amount % {m} =
 _GENERIC = "|".join(sorted((g.replace("-", "\\-") for g in text.GENERIC), key=len, reverse=True))
 
 
-@query(f"""WITH h AS ({_HEAD}), l AS (SELECT DISTINCT entry_id, account, coalesce(nullif(debit, 0), credit) AS a, effective_date FROM je_entries WHERE coalesce(nullif(debit, 0), credit) <> 0 AND effective_date IS NOT NULL),
-rare AS (SELECT account FROM je_entries GROUP BY 1 HAVING count(DISTINCT entry_id) <= (SELECT greatest(2, floor(count(*) * 0.005)) FROM h)), re AS (SELECT DISTINCT entry_id FROM je_entries WHERE account IN (SELECT account FROM rare)), d AS (SELECT DISTINCT entry_id FROM l JOIN (SELECT account, a, effective_date FROM l GROUP BY ALL HAVING count(*) > 1) USING (account, a, effective_date)),
+@query(f"""WITH h AS ({_HEAD}), l AS (SELECT DISTINCT entry_id, account, coalesce(nullif(debit, 0), credit) AS a, {day_sql('effective_date')} AS day FROM je_entries LEFT JOIN {SYSTEMS} USING (source) WHERE coalesce(nullif(debit, 0), credit) <> 0 AND {day_sql('effective_date')} IS NOT NULL),
+rare AS (SELECT account FROM je_entries GROUP BY 1 HAVING count(DISTINCT entry_id) <= (SELECT greatest(2, floor(count(*) * 0.005)) FROM h)), re AS (SELECT DISTINCT entry_id FROM je_entries WHERE account IN (SELECT account FROM rare)), d AS (SELECT DISTINCT entry_id FROM l JOIN (SELECT account, a, day FROM l GROUP BY ALL HAVING count(*) > 1) USING (account, a, day)),
 f AS (SELECT entry_id, CAST(amount AS DECIMAL(18,2)) AS amount, ({_ROUNDS}) AS c1, (amount >= 4750 AND amount < 5000 OR amount >= 9500 AND amount < 10000 OR amount >= 47500 AND amount < 50000) AS c2, coalesce(posted_by = approved_by, false) AS c3, posted_by IS NOT NULL AND approved_by IS NULL AS c4,
  coalesce(trim(description) <> '' AND (regexp_full_match(lower(trim(description)), '({_GENERIC})[\\s\\W]*\\d{{0,6}}[\\s\\W]*') OR regexp_full_match(lower(trim(description)), 'per [a-z.\\s]{{1,18}}') OR length(trim(description)) <= 3), false) AS c5, entry_id IN (SELECT entry_id FROM re) AS c6, entry_id IN (SELECT entry_id FROM d) AS c7, dr <> cr AS c8 FROM h)
 SELECT entry_id, amount, concat_ws(' ', CASE WHEN c1 THEN 'ROUND' END, CASE WHEN c2 THEN 'THRESHOLD' END, CASE WHEN c3 THEN 'SELFAPPROVED' END, CASE WHEN c4 THEN 'UNAPPROVED' END, CASE WHEN c5 THEN 'GENERICDESC' END, CASE WHEN c6 THEN 'RAREACCOUNT' END, CASE WHEN c7 THEN 'DUPEXACT' END, CASE WHEN c8 THEN 'UNBALANCED' END) AS codes,
  CAST(c1::INT * 2 + c2::INT * 5 + c3::INT * 4 + c4::INT * 3 + c5::INT * 2 + c6::INT * 2 + c7::INT * 4 + c8::INT * 5 AS INTEGER) AS score FROM f""")
 def eng_journal_flags(spark, sf_dir):
     """Journal entries by the weight of the tests they raise."""
-    return journal_flags(table(spark, sf_dir, "je_entries"))
+    return journal_flags(read_times(table(spark, sf_dir, "je_entries"), "effective_date", table(spark, sf_dir, "source_systems")))
 
 
 @query("SELECT customer, count(*) AS items, CAST(sum(CASE WHEN open_balance >= 0 THEN open_balance END) AS DECIMAL(18,2)) AS debits, CAST(sum(CASE WHEN open_balance < 0 THEN open_balance END) AS DECIMAL(18,2)) AS credits, CAST(sum(open_balance) AS DECIMAL(18,2)) AS net, CAST(max(CASE WHEN open_balance > 0 THEN date_diff('day', invoice_date, DATE '2025-12-31') END) AS INTEGER) AS oldest_days FROM aging GROUP BY 1")
@@ -348,10 +349,11 @@ def eng_straight_line(spark, sf_dir):
     return straight_line(p, "row_id", "cost", "life", "since", "prior", 2025)
 
 
-@query("SELECT posted_by, account, effective_date, count(*) AS n, CAST(sum(debit) AS DECIMAL(18,2)) AS total FROM je_entries WHERE debit < 5000 AND posted_by IS NOT NULL AND effective_date IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1 AND sum(debit) > 5000")
+@query(f"SELECT posted_by, account, d AS day, count(*) AS n, CAST(sum(debit) AS DECIMAL(18,2)) AS total FROM (SELECT *, {day_sql('effective_date')} AS d FROM je_entries LEFT JOIN {SYSTEMS} USING (source)) WHERE debit < 5000 AND posted_by IS NOT NULL AND d IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1 AND sum(debit) > 5000")
 def eng_split_claims(spark, sf_dir):
-    """Debits of one user, account and day that pass a limit only together."""
-    return split_claims(table(spark, sf_dir, "je_entries").where("debit is not null"), ["posted_by", "account", "effective_date"], "debit", D(5000))
+    """Debits of one user, account and day, however it is written, that pass a limit only together."""
+    rows = read_times(table(spark, sf_dir, "je_entries").where("debit is not null"), "effective_date", table(spark, sf_dir, "source_systems"))
+    return split_claims(rows, ["posted_by", "account", "day"], "debit", D(5000))
 
 
 @query("""WITH s AS (SELECT po_no, CAST(sum(amount_paid) AS DECIMAL(18,2)) AS stated FROM invoices WHERE po_no IS NOT NULL AND amount_paid IS NOT NULL GROUP BY 1), b AS (SELECT po_no, CAST(sum(CAST(round(qty_ordered * unit_price, 2) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS booked FROM pos WHERE po_no IS NOT NULL GROUP BY 1)

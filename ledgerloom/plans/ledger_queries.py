@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import aggregates, joins, predicates, windows
 from ledgerloom.operators.formula import formula
+from ledgerloom.operators.instants import read_times
 from ledgerloom.operators.matching import allocate, match_ledgers
 from ledgerloom.operators.sampling import monetary_sample, random_sample, sampling_interval, stratified_sample
+from ledgerloom.plans.instants_sql import SYSTEMS, day_sql, stamps_sql
 from ledgerloom.runtime import shared_dir, table
 from ledgerloom.sources import tables as sources
 from ledgerloom.streaming import events as streams
@@ -155,7 +157,7 @@ def fn_date_arithmetic(spark, sf_dir):
     return orders(spark, sf_dir).select("o_orderkey", dates.month_start(d).alias("month_start"), dates.next_month_start(d).alias("next_start"), dates.month_difference(d, day("1998-06-15")).alias("months"), dates.months_elapsed(d, day("1998-06-15")).alias("elapsed"), dates.overlap_days(d, F.date_add(d, 90), day("1997-01-01"), day("1997-12-31")).alias("overlap"), dates.week_index(d, day("1997-01-01"), 13).alias("week"))
 
 
-@query("SELECT o_orderkey, unnest(generate_series(CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(least(day(o_orderdate), 28) - 1 AS INTEGER), TIMESTAMP '2001-12-31', INTERVAL 1 MONTH))::DATE AS due FROM orders WHERE o_orderdate >= DATE '2001-01-01'")
+@query("SELECT o_orderkey, unnest(generate_series(CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(least(day(o_orderdate), 28) - 1 AS INTEGER), TIMESTAMP '2001-12-31', INTERVAL 1 MONTH))::DATE AS due FROM orders")
 def fn_recurrences(spark, sf_dir):
     """Monthly recurrences up to a horizon, one row each."""
     return orders(spark, sf_dir).select("o_orderkey", F.explode(dates.recurrences(F.col("day"), F.lit("2001-12-31").cast("date"), "monthly")).alias("due"))
@@ -198,15 +200,17 @@ def flt_just_below(spark, sf_dir):
     return orders(spark, sf_dir).select("o_orderkey", cents(predicates.just_below(F.col("amount"), [D(100000), D(250000)])).alias("threshold")).where("threshold is not null")
 
 
-_TS = "try_cast(replace(replace(posted_timestamp, 'T', ' '), 'Z', '') AS TIMESTAMP)"
 
 
-@query(f"SELECT line_id, coalesce(isodow({_TS}) >= 6, false) AS weekend, coalesce(hour({_TS}) < 7 OR hour({_TS}) >= 19, false) AS after_hours, coalesce(date_diff('day', try_cast(effective_date AS DATE), CAST({_TS} AS DATE)) > 5, false) AS late FROM je_entries WHERE regexp_full_match(posted_timestamp, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ') AND regexp_full_match(effective_date, '\\d{{4}}-\\d\\d-\\d\\d')")
+_TIMES = f"WITH t AS ({stamps_sql(f'(SELECT line_id, effective_date, posted_timestamp AS raw, tz, o FROM je_entries LEFT JOIN {SYSTEMS} USING (source))')}), d AS (SELECT line_id, utc, {day_sql('effective_date')} AS d FROM t)"
+
+
+@query(f"{_TIMES} SELECT line_id, coalesce(isodow(utc) >= 6, false) AS weekend, coalesce(hour(utc) < 7 OR hour(utc) >= 19, false) AS after_hours, coalesce(date_diff('day', d, CAST(utc AS DATE)) > 5, false) AS late FROM d")
 def flt_posting_times(spark, sf_dir):
-    """Weekend, after-hours and late postings."""
-    rows = lines(spark, sf_dir).where(F.col("posted_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$") & F.col("effective_date").rlike(r"^\d{4}-\d\d-\d\d$"))
-    stamp = F.regexp_replace("posted_timestamp", "Z", "").try_cast("timestamp_ntz")
-    return rows.select("line_id", *[f.alias(n) for n, f in predicates.calendar_flags(stamp, F.col("effective_date").try_cast("date")).items()])
+    """Weekend, after-hours and late postings, by UTC instants and days read from every layout."""
+    systems = table(spark, sf_dir, "source_systems")
+    rows = read_times(read_times(lines(spark, sf_dir), "posted_timestamp", systems, "stamp", "stamp"), "effective_date", systems)
+    return rows.select("line_id", *[f.alias(n) for n, f in predicates.calendar_flags(F.col("stamp"), F.col("day")).items()])
 
 
 _GEN = "|".join(sorted((g.replace("-", "\\-") for g in text.GENERIC), key=len, reverse=True))
@@ -292,20 +296,25 @@ def join_tier_split(spark, sf_dir):
     return cut.select("o_orderkey", "tier", cents("portion").alias("portion"))
 
 
-_L = "SELECT line_id, account, coalesce(debit, credit) AS amount, try_cast(effective_date AS DATE) AS d FROM je_entries WHERE regexp_full_match(effective_date, '\\d{4}-\\d\\d-\\d\\d') AND coalesce(debit, credit) > 0"
+_L = f"SELECT line_id, account, coalesce(debit, credit) AS amount, {day_sql('effective_date')} AS d FROM je_entries LEFT JOIN {SYSTEMS} USING (source) WHERE coalesce(debit, credit) > 0"
+
+
+def dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal lines with ``day``, read from every layout of their date."""
+    return read_times(lines(spark, sf_dir), "effective_date", table(spark, sf_dir, "source_systems"))
 
 
 @query(f"WITH l AS ({_L}) SELECT least(a.line_id, b.line_id) AS a, greatest(a.line_id, b.line_id) AS b, CAST(abs(date_diff('day', a.d, b.d)) AS INTEGER) AS gap FROM l a JOIN l b ON a.account = b.account AND a.amount = b.amount AND a.line_id < b.line_id AND abs(date_diff('day', a.d, b.d)) <= 7")
 def join_date_band(spark, sf_dir):
     """Lines of one account and amount within a week of each other."""
-    rows = lines(spark, sf_dir).where(F.col("effective_date").rlike(r"^\d{4}-\d\d-\d\d$")).select("line_id", "account", F.coalesce("debit", "credit").alias("amount"), F.col("effective_date").try_cast("date").alias("day")).where("amount > 0")
+    rows = dated_lines(spark, sf_dir).select("line_id", "account", F.coalesce("debit", "credit").alias("amount"), "day").where("amount > 0")
     return joins.band_pairs(rows, "line_id", ["account", "amount"], "day", 7)
 
 
 @query(f"WITH l AS ({_L}), p AS (SELECT a.line_id, count(*) AS links FROM l a JOIN l b ON a.account = b.account AND a.amount = b.amount AND a.line_id <> b.line_id AND abs(date_diff('day', a.d, b.d)) <= 7 GROUP BY 1) SELECT * FROM p")
 def join_date_links(spark, sf_dir):
     """Each line with the number of lines of its account and amount within a week."""
-    rows = lines(spark, sf_dir).where(F.col("effective_date").rlike(r"^\d{4}-\d\d-\d\d$")).select("line_id", "account", F.coalesce("debit", "credit").alias("amount"), F.col("effective_date").try_cast("date").alias("day")).where("amount > 0")
+    rows = dated_lines(spark, sf_dir).select("line_id", "account", F.coalesce("debit", "credit").alias("amount"), "day").where("amount > 0")
     return joins.band_links(rows, "line_id", ["account", "amount"], "day", 7).select("line_id", "links")
 
 
@@ -552,11 +561,24 @@ def win_continuity(spark, sf_dir):
     return s.select("o_custkey", "y", "closing", cents(F.lead(F.col("closing") - F.col("t")).over(Window.partitionBy("o_custkey").orderBy("y"))).alias("next_opening"))
 
 
-@query()
+_ANNUITY = """WITH RECURSIVE c AS (SELECT c_custkey AS k, CAST(c_acctbal AS DECIMAL(18,2)) AS pay, CAST(c_custkey % 10 + 3 AS INTEGER) AS n FROM customer WHERE c_acctbal > 100),
+f(i, v) AS (SELECT 0, CAST(1 AS DECIMAL(38,24)) UNION ALL SELECT i + 1, CAST(CAST(v AS DECIMAL(38,24)) / 1.005 AS DECIMAL(38,24)) FROM f WHERE i < 12), s AS (SELECT k, pay, n, CAST(round(CAST(pay * (SELECT sum(CAST(v AS DECIMAL(30,12))) FROM f WHERE i BETWEEN 1 AND n) AS DECIMAL(38,12)), 2) AS DECIMAL(18,2)) AS pv FROM c),
+w(k, pay, n, period, interest, principal, balance) AS (SELECT k, pay, n, 0, CAST(0 AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)), pv FROM s
+ UNION ALL SELECT k, pay, n, period + 1, CAST(CASE WHEN period + 1 = n THEN pay - balance ELSE round(balance * 0.005, 2) END AS DECIMAL(18,2)), CAST(CASE WHEN period + 1 = n THEN balance ELSE pay - round(balance * 0.005, 2) END AS DECIMAL(18,2)), CAST(CASE WHEN period + 1 = n THEN 0 ELSE balance - (pay - round(balance * 0.005, 2)) END AS DECIMAL(18,2)) FROM w WHERE period < n)"""
+
+
+@query(_ANNUITY + " SELECT k AS c_custkey, CAST(period AS INTEGER) AS period, interest, principal, balance FROM w WHERE period > 0")
 def win_annuity(spark, sf_dir):
     """Amortisation of a level payment over a customer's terms, a row for each period."""
     c = table(spark, sf_dir, "customer").where("c_acctbal > 100").select("c_custkey", cents("c_acctbal").alias("payment"), (F.pmod("c_custkey", F.lit(10)) + 3).cast("int").alias("n"))
-    return c.select("c_custkey", F.explode(windows.annuity_schedule(F.col("payment"), F.lit(0.005), F.col("n"))).alias("r")).select("c_custkey", "r.*")
+    return c.select("c_custkey", F.explode(windows.annuity_schedule(F.col("payment"), F.lit(D("0.005")), F.col("n"))).alias("r")).select("c_custkey", "r.*")
+
+
+@query("SELECT c_custkey, CAST((sum(CAST(c_acctbal AS DECIMAL(18,2))) OVER (PARTITION BY c_custkey)) AS DECIMAL(18,2)) AS asset, CAST(((2 * CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT) + c_custkey % 10 + 3) // (2 * (c_custkey % 10 + 3))) / 100.0 AS DECIMAL(18,2)) AS charge FROM customer WHERE c_acctbal > 100")
+def win_right_of_use(spark, sf_dir):
+    """The level charge of an asset over its terms, in cents."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 100").select("c_custkey", cents("c_acctbal").alias("asset"), (F.pmod("c_custkey", F.lit(10)) + 3).cast("int").alias("n"))
+    return c.select("c_custkey", "asset", windows.level_charge(F.col("asset"), F.col("n")).alias("charge"))
 
 
 # ---- sorts, limits and sets
@@ -571,7 +593,9 @@ def sort_top(spark, sf_dir):
 @query("SELECT o_custkey, list_transform(list_sort(list({'a': CAST(o_totalprice AS DECIMAL(18,2)), 'k': o_orderkey}))[1:8], lambda x: x.k) AS keys FROM orders GROUP BY 1")
 def sort_capped_lists(spark, sf_dir):
     """The eight smallest open items of each customer."""
-    return orders(spark, sf_dir).groupBy("o_custkey").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("amount", "o_orderkey"))), 1, 8), lambda x: x["o_orderkey"]).alias("keys"))
+    ranked = orders(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("amount", "o_orderkey"))).where("n <= 8")
+    return ranked.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("keys"))  # eight at most
+
 
 
 @query("SELECT row_id, vendor AS party, 'vendor' AS kind, NULL::DECIMAL(18,2) AS open FROM pos UNION ALL SELECT row_id, customer, 'customer', open_balance FROM aging")

@@ -239,3 +239,19 @@ def test_recurrences_of_every_order(spark):
     got = {r.o_orderkey: (r.n, r.m) for r in ledger_queries.fn_recurrences(spark, at).groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("due").alias("m")).collect()}
     want = {r.o_orderkey: (12 * (2001 - r.day.year) + 13 - r.day.month, r.day.replace(day=min(r.day.day, 28))) for r in ledger_queries.orders(spark, at).collect()}
     assert got == want and min(m for _, m in want.values()).year < 2001
+
+
+def test_groups_of_a_ledger_are_matched_as_the_whole_account(spark):
+    r = random.Random(11)
+    words = ["rent", "fee", "tax", "freight", "loan"]
+    schema = "account string, id long, date date, amount decimal(18,2), check_no string, tokens array<string>"
+    row = lambda i: (r.choice("xyz"), i, day(r.choice([0, 40, 80, 3650]) + r.randrange(14)), D(r.randrange(1, 12)) * r.choice([1, 1, -1]), None, r.sample(words, r.randrange(3)))
+    bank, book = [row(i) for i in range(120)], [row(1000 + i) for i in range(120)]
+    got = match_ledgers(spark.createDataFrame(bank, schema), spark.createDataFrame(book, schema)).collect()
+    exact = {(x.bank_id, x.book_id) for x in got if x.rule == "amount_date"}
+    want = set()
+    for account in "xyz":
+        flat = lambda rows, used: [(i, int(a * 100), d.toordinal(), frozenset(t)) for acc, i, d, a, _, t in rows if acc == account and i not in used]  # noqa: B023, E731
+        want |= set(residual_matches(flat(bank, {a for a, _ in exact}), flat(book, {b for _, b in exact}), 5, 0.6, 14))
+    assert {(x.bank_id, x.book_id, x.rule) for x in got if x.rule != "amount_date"} == want
+    assert {x.rule for x in got} == {"amount_date", "nearest_date", "tokens", "many_to_one", "one_to_many"}
