@@ -2,13 +2,15 @@
 
 A spelling is reduced to its core: legal forms, kinds of business (also shortened or cut off), titles and initials in front
 of organisations are set aside. The suffixes of core words are an index; pairs of cores that share one are compared by the
-longest common subsequence of their words. Suffixes that too many cores share are first refined by other fields, and what is
-common even then is compared by way of its refinements alone.
+longest common subsequence of their words. Suffixes that too many cores share are refined by both ends of the rest of the
+core, each also with one letter left out; nothing is dropped after that, however many cores a refined suffix has. Names that
+are too short to be compared letter by letter pair only where all words but the legal form are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,9 @@ ROUNDS = 60
 
 #: Legal forms, kinds of business with their short forms, titles, and given names with their short forms.
 LEGAL = {"inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "gesellschaft", "mbh", "liability", "public", "ag", "sa", "bv", "llp", "lp", "l", "c", "p", "g", "m", "b", "h", "the", "and"}
+#: Of these, the words that make a short text a name; and words that don't name anyone.
+FORMS = {"inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "ag", "se", "kg", "nv", "sa", "srl", "spa", "pty", "oy", "bv", "llp", "lp"}
+NO_NAMES = {"unknown", "various", "misc", "sundry", "other", "others", "none", "na", "n", "a", "vendor", "customer", "supplier", "cash", "test", "name", "see", "tbd", "no"}
 BUSINESS = {
     "industries": "ind inds indus", "technologies": "tech techn technol technology", "electrical": "elec elect electric", "chemicals": "chem chems chemical", "international": "int intl internat", "supplies": "sup supp supply supls",
     "foods": "fds food", "services": "svc svcs serv service", "consulting": "cons consltg consult cnslt", "manufacturing": "mfg manuf manufg mfrg", "packaging": "pkg pack packg pkging", "fabrication": "fab fabr fabrn", "engineering": "eng engg engr engrg",
@@ -65,36 +70,62 @@ def ratio(a: str, b: str) -> float:
     return lcs(a, b) / max(len(a), len(b), 1)
 
 
+@lru_cache(200_000)
+def _given(word: str) -> bool:
+    return word in GIVEN or word in SHORT or (len(word) >= 4 and any(abs(len(word) - len(g)) <= 1 and ratio(word, g) >= 0.75 for g in GIVEN))
+
+
+@lru_cache(200_000)
+def _business(word: str, also: tuple[str, ...] = ()) -> bool:
+    """A mistyped kind of business, or one of the words in ``also``."""
+    return any(ratio(word, full) >= 0.8 for full in (*BUSINESS, *also))
+
+
+_FORMS = ("company", "limited", "incorporated", "corporation")
+
+
 def core_of(name: str) -> tuple[str, str] | None:
-    """(kind, core) of a spelling: ``org``, ``person`` or ``initial`` and its core words; null where it is no name."""
+    """(kind, core) of a spelling; null where it is no name.
+
+    ``org`` and ``person`` have core words, ``initial`` a letter and a last name. ``short`` is a name with a legal form whose
+    core words have fewer than six letters or hold digits: all its words but the legal form, sorted, kinds of business in full.
+    """
     words = name.split()
-    if not words or any(c.isdigit() for c in name):
+    if not words:
         return None
-    words = [w for w in words if w not in TITLES] or words
-    given = [i for i, w in enumerate(words) if w in GIVEN or w in SHORT or (len(w) >= 4 and any(ratio(w, g) >= 0.75 and abs(len(w) - len(g)) <= 1 for g in GIVEN))]
-    legal = any(w in LEGAL and len(w) > 1 for w in words) or any(w in _BUSINESS_WORDS for w in words)
-    if not legal and len(words) <= 4:
-        single = [w for w in words if len(w) == 1]
-        rest = [w for w in words if len(w) > 1]
-        if given and len(rest) == 2:
-            first = words[given[0]]
-            last = next(w for i, w in enumerate(words) if len(w) > 1 and i != given[0])
-            return "person", f"{first} {last}"
-        if len(single) == 1 and len(rest) == 1 and len(rest[0]) >= 4:
-            return "initial", f"{single[0]} {rest[0]}"
-    core, seen = [], False
-    for i, w in enumerate(words):
-        if w in LEGAL or w in _BUSINESS_WORDS or len(w) <= 3:
-            continue
-        if seen and i == len(words) - 1 and any(full.startswith(w) for full in BUSINESS):
-            continue  # a kind of business that was cut off
-        core.append(w)
-        seen = True
-    # A mistyped kind of business or legal form is none of the first two words.
-    kept = [w for i, w in enumerate(core) if i < 2 or not any(ratio(w, full) >= 0.8 for full in (*BUSINESS, "company", "limited", "incorporated", "corporation"))]
-    if len(kept) > 2 and any(any(ratio(w, full) >= 0.8 for full in BUSINESS) for w in kept):
-        kept = [w for w in kept if not any(ratio(w, full) >= 0.8 for full in BUSINESS)]
-    return ("org", " ".join(kept)) if sum(map(len, kept)) >= 6 else None
+    if not any(c.isdigit() for c in name):
+        words = [w for w in words if w not in TITLES] or words
+        given = [i for i, w in enumerate(words) if _given(w)]
+        legal = any(w in LEGAL and len(w) > 1 for w in words) or any(w in _BUSINESS_WORDS for w in words)
+        if not legal and len(words) <= 4:
+            single = [w for w in words if len(w) == 1]
+            rest = [w for w in words if len(w) > 1]
+            if given and len(rest) == 2:
+                first = words[given[0]]
+                last = next(w for i, w in enumerate(words) if len(w) > 1 and i != given[0])
+                return "person", f"{first} {last}"
+            if len(single) == 1 and len(rest) == 1 and len(rest[0]) >= 4:
+                return "initial", f"{single[0]} {rest[0]}"
+        core, seen = [], False
+        for i, w in enumerate(words):
+            if w in LEGAL or w in _BUSINESS_WORDS or len(w) <= 3:
+                continue
+            if seen and i == len(words) - 1 and any(full.startswith(w) for full in BUSINESS):
+                continue  # a kind of business that was cut off
+            core.append(w)
+            seen = True
+        # A mistyped kind of business or legal form is none of the first two words.
+        kept = [w for i, w in enumerate(core) if i < 2 or not _business(w, _FORMS)]
+        if len(kept) > 2 and any(map(_business, kept)):
+            kept = [w for w in kept if not _business(w)]
+        if sum(map(len, kept)) >= 6 and not all(w in NO_NAMES for w in kept):
+            return "org", " ".join(kept)
+    if any(w in FORMS for w in words):
+        full = lambda w: next((f for f, shorts in BUSINESS.items() if w in shorts.split()), w)
+        core = sorted(full(w) for w in words if w not in FORMS and w not in ("the", "and"))
+        if core and not all(w in NO_NAMES or w.isdigit() for w in core):
+            return "short", " ".join(core)
+    return None
 
 
 def given_fits(a: str, b: str) -> bool:
@@ -117,7 +148,18 @@ def same_party(kind_a: str, a: str, kind_b: str, b: str) -> bool:
         (whole,), two = (x, y) if len(x) == 1 else (y, x)
         return any(ratio(whole, p + q) >= WHOLE and any(min(ratio(whole[:k], p), ratio(whole[k:], q)) >= WORD for k in range(len(p) - 2, len(p) + 3)) for p, q in (two, two[::-1]))
     joined = "".join(y)
-    return max(ratio("".join(x), joined), ratio("".join(reversed(x)), joined)) >= UNSPLIT
+    if max(ratio("".join(x), joined), ratio("".join(reversed(x)), joined)) >= UNSPLIT:
+        return True
+    if len(x) != len(y):
+        return False
+    left, order = list(y), []  # three words and more, in any order: each with the word it is most like
+    for w in x:
+        best = max(left, key=lambda v: ratio(w, v))  # noqa: B023
+        if ratio(w, best) < WORD:
+            return False
+        left.remove(best)
+        order.append(best)
+    return ratio("".join(x), "".join(order)) >= WHOLE
 
 
 def cores(names: DataFrame, column: str) -> DataFrame:
@@ -134,8 +176,9 @@ def cores(names: DataFrame, column: str) -> DataFrame:
 def suffix_pairs(parties: DataFrame, common: int = COMMON) -> DataFrame:
     """(a, b) of the ``parties`` (kind, core) that share a suffix of a word; each pair at its longest common suffix.
 
-    A suffix that over ``common`` cores share is refined by the first letters of the rest of the core and by its length and
-    by its last letters; a refined suffix that is still common is refined by both, which leaves the pairs that agree in all.
+    A suffix that over ``common`` cores share is refined by the first letters of the rest of the core and by its last ones,
+    each also with one letter left out. Refined suffixes are compared whole, whatever their size: a bound by letters that
+    follows from the ratios sorts out most pairs before any is compared.
     """
     weighed = F.when(F.col("kind") == "person", F.get(F.split("core", " "), F.lit(1))).otherwise(F.regexp_replace("core", " ", ""))
     weights = parties.select("kind", "core", F.length(weighed).alias("size"), letters(weighed).alias("bits"))
@@ -156,13 +199,14 @@ def suffix_pairs(parties: DataFrame, common: int = COMMON) -> DataFrame:
     blocks = sized(ends, ("kind", "suffix"))
     plain = blocks.where(F.col("cores").between(2, common)).withColumn("block", F.col("suffix")).drop("cores")
     wide = blocks.where(F.col("cores") > common).drop("cores")
-    head, tail = F.substring("rest", 1, 2), F.expr("right(rest, 3)")
-    refined = wide.withColumn("block", F.explode(F.array(F.concat("suffix", F.lit("<"), head), F.concat("suffix", F.lit(">"), tail))))
-    refined = sized(refined, ("kind", "block"))
-    narrow = refined.where(F.col("cores").between(2, common)).drop("cores")
-    both = sized(refined.where(F.col("cores") > common).drop("cores").withColumn("block", F.concat("suffix", F.lit("="), F.substring("rest", 1, 3), F.lit("/"), F.expr("right(rest, 2)"))).distinct(), ("kind", "block")).where("cores > 1").drop("cores")
+    # The ends of the rest, whole and with one letter left out: of two rests that differ at both ends by a letter each, one agrees.
+    less = lambda c, n: F.array(c, *[F.concat(F.substring(c, 1, i), F.substring(c, i + 2, n)) for i in range(n)])
+    ends_of = wide.withColumns({"_h": F.substring("rest", 1, 3), "_t": F.expr("right(rest, 4)")})
+    heads = F.transform(less(F.col("_h"), 3), lambda x: F.concat(F.col("suffix"), F.lit("<"), F.substring(x, 1, 2)))
+    tails = F.transform(less(F.col("_t"), 4), lambda x: F.concat(F.col("suffix"), F.lit(">"), F.reverse(F.substring(F.reverse(x), 1, 3))))
+    narrow = ends_of.withColumn("block", F.explode(F.array_distinct(F.concat(heads, tails)))).drop("_h", "_t")
     cols = ["kind", "core", "before", "block"]
-    keyed = stored(plain.select(*cols).unionAll(narrow.select(*cols)).unionAll(both.select(*cols)).distinct().join(weights, ["kind", "core"]), "suffixes")
+    keyed = stored(plain.select(*cols).unionAll(narrow.select(*cols)).distinct().join(weights, ["kind", "core"]), "suffixes")
     b = keyed.select(F.col("kind").alias("kind_b"), F.col("core").alias("b"), F.col("before").alias("before_b"), F.col("block").alias("block_b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
     met = keyed.join(b, (F.col("kind") == F.col("kind_b")) & (F.col("block") == F.col("block_b")) & (F.col("core") < F.col("b")) & ((F.col("before") != F.col("before_b")) | (F.col("before") == "")) & may_fit())
     return met.select("kind", F.col("core").alias("a"), "b").distinct()
@@ -232,21 +276,24 @@ def parties(values: DataFrame, column: str, common: int = COMMON) -> DataFrame:
     """(name, party): each spelling that is a name, with the group of spellings of the same organisation or person.
 
     Repeated values count once, before anything is shuffled whole; nulls, empty texts and values that are no names (with
-    digits, or without a core of six letters) are in no group. Ties can't occur. Further columns are ignored.
+    digits or fewer than six letters, and no legal form) are in no group. Names of under six letters or with digits pair where
+    they are equal but for the legal form. Ties can't occur. Further columns are ignored.
     """
     names = stored(cores(values.select(spelling(F.col(column)).alias("name")).where("name != ''").distinct(), "name"), "names")
     distinct = stored(names.select("kind", "core").distinct(), "cores")
     tag = lambda kind, core: F.concat(kind, F.lit(":"), core)
-    links = stored(compare(suffix_pairs(distinct.where("kind != 'initial'"), common)), "same")
+    links = stored(compare(suffix_pairs(distinct.where("kind in ('org', 'person')"), common)), "same")
     nodes = distinct.where("kind != 'initial'").select(tag(F.col("kind"), F.col("core")).alias("node"), "kind", "core")
     found = groups(nodes, links.select(tag(F.col("kind"), F.col("a")).alias("a"), tag(F.col("kind"), F.col("b")).alias("b")))
     labelled = stored(nodes.join(found, "node"), "labelled")
     every = labelled.select("kind", "core", "party").unionByName(link_initials(distinct, labelled))
-    return names.join(every, ["kind", "core"]).select("name", "party")
+    out = stored(names.join(every, ["kind", "core"]).select("name", "party"), "parties")
+    forget(names, distinct, links, labelled)
+    return out
 
 
 def spelling_pairs(values: DataFrame, column: str, common: int = COMMON) -> DataFrame:
     """(name_a, name_b): all pairs of spellings of one party, the smaller first."""
-    named = stored(parties(values, column, common), "parties")
+    named = parties(values, column, common)
     b = named.select(F.col("name").alias("name_b"), F.col("party").alias("party_b"))
     return named.join(b, (F.col("party") == F.col("party_b")) & (F.col("name") < F.col("name_b"))).select(F.col("name").alias("name_a"), "name_b")

@@ -62,3 +62,26 @@ def test_lcs_against_tables():
 
 def test_long_names():
     assert core_of("x" * 100_000) is not None and core_of("9" * 1000) is None
+
+
+def test_short_names_and_names_with_digits_pair_by_equal_words(spark):
+    names = ["Acme Inc", "ACME, Incorporated", "IBM Corp", "I.B.M. Corp", "IBM Corporation", "3M Company", "3M Co", "BASF SE", "A.T. & T. Inc", "acme", "unknown co", "Unknown Company", "INV-12", "Co.", "Kora Ind. Ltd", "kora industries limited"]
+    assert [g for g in grouped(spark, names) if len(g) > 1] == [["3m co", "3m company"], ["acme inc", "acme incorporated"], ["ibm corp", "ibm corporation"], ["kora ind ltd", "kora industries limited"]]
+
+
+def test_three_words_in_any_order():
+    assert same_party("org", "blue river stonework", "org", "stonework blue rivers") and not same_party("org", "blue river stonework", "org", "stonework green rivers")
+
+
+def test_hot_suffixes_lose_no_link(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(n))
+    bases = [f"{word(3)} {r.choice(['palstone', 'morstone'])}" for _ in range(150)]  # hundreds of cores of one suffix
+    cores = set(bases)
+    for c in bases:
+        first, last = c.split()
+        i, j = r.randrange(len(first)), r.randrange(3)
+        cores |= {f"{first[:i]}x{first[i + 1 :]} {last}", f"{first[:i]}{first[i + 1 :]} {last}", f"{first} {last[:j]}{last[j + 1 :]}"}
+    df = spark.createDataFrame([("org", c) for c in cores], "kind string, core string")
+    want = {(a, b) for a in cores for b in cores if a < b and same_party("org", a, "org", b)}
+    assert len(want) > 400 and want <= {(x.a, x.b) for x in suffix_pairs(df, 10).collect()}
