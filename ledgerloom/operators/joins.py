@@ -111,3 +111,34 @@ def checked_broadcast(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is; it is written once for the count."""
     kept = stored(df, "side")
     return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+
+
+def one_range_of(rows: DataFrame, row_id: str, value: str, ranges: DataFrame) -> DataFrame:
+    """(row_id, range, matches): as :func:`exactly_one_range` for a table ``ranges`` (name, low, high), null bounds open.
+
+    The table of ranges is a policy of few rows; only where it is one is it broadcast.
+    """
+    hit = (F.col(value) >= F.coalesce("low", F.col(value))) & (F.col(value) <= F.coalesce("high", F.col(value)))
+    found = rows.select(row_id, value).join(checked_broadcast(ranges.select("name", "low", "high"), 10_000), hit, "left")
+    return found.groupBy(row_id).agg(F.when(F.count("name") == 1, F.min("name")).alias("range"), F.count("name").alias("matches"))
+
+
+def gaps_and_overlaps(tiers: DataFrame) -> DataFrame:
+    """(after, before, kind): places where one tier (low, high) doesn't begin where the one before ends; an open end is the last."""
+    w = Window.partitionBy(F.lit(1)).orderBy("low")  # a policy of few rows
+    t = tiers.select("low", F.lag("high").over(w).alias("before"), F.row_number().over(w).alias("n"))
+    kind = F.when(F.col("before").isNull() | (F.col("before") > F.col("low")), "overlap").when(F.col("before") < F.col("low"), "gap")
+    return t.where("n > 1").select(F.col("before").alias("after"), F.col("low").alias("before"), kind.alias("kind")).where("kind is not null")
+
+
+def terms_in(documents: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFrame:
+    """(request, doc_id, term): as :func:`containing` for a table ``terms`` (request, place, term) of whole words, however many.
+
+    Terms meet texts by their first word, so that neither side is listed against all of the other.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    asked = terms.select("request", "place", "term", words(F.col("term")).alias("_w")).where(F.size("_w") > 0).select("request", "place", "term", spaced(F.col("_w")).alias("_t"), F.col("_w")[0].alias("_first"))
+    texts = documents.select(doc_id, words(F.col(text)).alias("_w")).select(doc_id, spaced(F.col("_w")).alias("_text"), F.explode(F.array_distinct("_w")).alias("_first"))
+    hits = texts.join(asked, "_first").where(F.contains("_text", "_t"))
+    return hits.groupBy("request", doc_id).agg(F.min_by("term", "place").alias("term"))

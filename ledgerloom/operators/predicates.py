@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The moduli that make an amount round.
@@ -48,3 +48,25 @@ def calendar_flags(posted: Column, effective: Column, opens: int = 7, closes: in
     """Weekend, after hours and late posting; null stamps raise nothing."""
     no = F.lit(False)
     return {"weekend": F.coalesce(F.weekday(posted) >= 5, no), "after_hours": F.coalesce((F.hour(posted) < opens) | (F.hour(posted) >= closes), no), "late": F.coalesce(F.datediff(posted, effective) > lag, no)}
+
+
+def scoped_limit(rows: DataFrame, limits: DataFrame, scope: list[str], limit: str) -> DataFrame:
+    """``rows`` with the ``limit`` of the most specific scope: all columns given, then the first ones, then the rest, then none.
+
+    ``limits`` has the scope's columns, null where they say nothing, and the limit; texts compare without case. It is a policy
+    of few rows: each combination of given columns is one equi-join with its least limit.
+    """
+    out, found = rows, []
+    for k in sorted(range(2 ** len(scope)), key=lambda k: (-k.bit_count(), [not k >> i & 1 for i in range(len(scope))])):
+        given = [c for i, c in enumerate(scope) if k >> i & 1]
+        some = limits.where(" and ".join(f"`{c}` is {'not ' if c in given else ''}null" for c in scope))
+        name = f"_limit{k}"
+        found.append(F.col(name))
+        if not given:
+            out = out.withColumn(name, some.agg(F.min(limit)).scalar())
+            continue
+        keys = [F.lower(F.trim(c)).alias(f"_k{i}") for i, c in enumerate(given)]
+        side = some.groupBy(*keys).agg(F.min(limit).alias(name))
+        on = [F.lower(F.trim(out[c])) == F.col(f"_k{i}") for i, c in enumerate(given)]
+        out = out.join(side, on, "left").drop(*[f"_k{i}" for i in range(len(given))])
+    return out.withColumn(limit, F.coalesce(*found)).drop(*[f"_limit{k}" for k in range(2 ** len(scope))])

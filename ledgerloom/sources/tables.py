@@ -11,15 +11,21 @@ class Empty(ValueError):
     """A table that must have rows has none."""
 
 
-def scan_csv(spark: SparkSession, path: str, columns: list[str], optional: bool = False, required: bool = False) -> DataFrame:
-    """All ``columns`` as text, by header name; a column the file lacks is null. A missing optional file is an empty table."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+def scan_csv(spark: SparkSession, path: str, columns: list[str], optional: bool = False, required: bool = False, row_number: str | None = None) -> DataFrame:
+    """All ``columns`` as text, by header name; a column the file lacks is null. A missing optional file is an empty table.
+
+    ``row_number`` names a column that counts the records of each file from 1, in the file's order; a file is one split then.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + ([T.StructField(row_number, T.LongType())] if row_number else []))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if optional and not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
     raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
     names = {n.lstrip("﻿").strip().lower(): n for n in raw.columns}
-    df = raw.select(*[(F.col(f"`{names[c.lower()]}`") if c.lower() in names else F.lit(None)).cast("string").alias(c) for c in columns])
+    if row_number:
+        places = Window.partitionBy("_file").orderBy("_at")
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")).withColumn("_row", F.row_number().over(places).cast("long"))
+    df = raw.select(*[(F.col(f"`{names[c.lower()]}`") if c.lower() in names else F.lit(None)).cast("string").alias(c) for c in columns], *([F.col("_row").alias(row_number)] if row_number else []))
     if required and df.isEmpty():
         raise Empty(path)
     return df
@@ -75,3 +81,15 @@ def write_tabs(tables: dict[str, DataFrame], folder: str, kind: str = "parquet",
         writer = df.write.mode("overwrite")
         (writer.option("header", True).csv(paths[name]) if kind == "csv" else writer.format(kind).save(paths[name]))
     return paths
+
+
+def carry_forward(items: DataFrame, worklist: DataFrame | None, key: str, columns: list[str]) -> DataFrame:
+    """``items`` with the ``columns`` that a worklist of the run before has for their key, and ``periods``, how many runs an item is open.
+
+    A worklist is what an earlier run wrote of this function's result; without one every item is new. A key that a worklist
+    has several times takes its least row.
+    """
+    if worklist is None:
+        return items.select("*", *[F.lit(None).cast("string").alias(c) for c in columns], F.lit(1).alias("periods"))
+    old = worklist.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*columns)).alias("_old"), F.max("periods").alias("_periods"))
+    return items.join(old, key, "left").select(*[items[c] for c in items.columns], *[F.col(f"_old.{c}").alias(c) for c in columns], (F.coalesce("_periods", F.lit(0)) + 1).alias("periods"))
