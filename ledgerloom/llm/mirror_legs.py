@@ -61,7 +61,10 @@ def describe(legs: DataFrame) -> DataFrame:
         F.regexp_extract(text, r"\bp(\d\d)\b", 1).try_cast("int"),
         F.regexp_extract(text, r"\b(\d\d)/\d{4}\b", 1).try_cast("int"),
     )
-    kind = F.coalesce(*[F.when(text.rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), F.lit(k)) for k, words in KINDS.items()])
+    # All words of kinds in one search; of several kinds the first of the list counts.
+    place = F.create_map(*[F.lit(x) for i, words in enumerate(KINDS.values()) for w in words.split("|") for x in (w, i)])
+    said = F.regexp_extract_all(text, F.lit(rf"(?<![a-z])({'|'.join(KINDS.values())})(?![a-z])"), 1)
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.array_min(F.transform(said, lambda w: F.element_at(place, w))))
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _MONTH, " "), r"r&d", " "), r"[^a-z]+", " ")), " ")
     known = "|".join([*KINDS.values(), OTHER]).split("|")
     sites = F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*known))
