@@ -116,7 +116,7 @@ def radix_buckets(keys: DataFrame, bucket_size: int = BUCKET) -> tuple[DataFrame
     can't be split and needn't be: equal texts were combined before. The splits are a table like any other, broadcast only
     where it is small; only the buckets on their way through the rounds are written again.
     """
-    done, sizes_done = [], []
+    done, sizes_done, steps = [], [], []
     left = stored(keys.withColumn("bucket", F.lit("")), "keys")
     for turn in range(ROUNDS):
         sizes = left.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("canon").alias("lo"), F.max("canon").alias("hi"))
@@ -125,7 +125,9 @@ def radix_buckets(keys: DataFrame, bucket_size: int = BUCKET) -> tuple[DataFrame
             buckets, counts = left, sizes.select("bucket", "rows")
             for k, n in zip(done, sizes_done, strict=True):
                 buckets, counts = buckets.unionAll(k), counts.unionAll(n)
+            buckets._steps = [left, sizes, *done, *steps]
             return buckets, counts
+        steps.append(sizes)
         letters = lambda c: F.split(c, "")
         agree = F.array_position(F.zip_with(letters("lo"), letters("hi"), lambda x, y: x.eqNullSafe(y)), F.lit(False))
         splits = checked_broadcast(sizes.where("large").select(F.col("bucket").alias("old"), (F.when(agree > 0, agree).otherwise(F.least(F.length("lo"), F.length("hi")) + 1) + (2**turn - 1)).cast("int").alias("upto")))
@@ -153,11 +155,16 @@ def collapse(df: DataFrame, row_id: str, texts: list[str], numbers: list[str], a
     parts = max(1, -(-2 * total // bucket_size))
     records = keys.select("bucket", "canon", "n", "least").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_count, COUNTED)
     records = stored(records.select(F.col("least").alias("first_row_id"), F.col("n").alias("copies"), F.sha2("canon", 256).alias("digest")), "records")
-    return records, rows.select("row_id", F.sha2("canon", 256).alias("digest"))
+    forget(*keys._steps)
+    digests = rows.select("row_id", F.sha2("canon", 256).alias("digest"))
+    digests._stored_at = rows._stored_at
+    return records, digests
 
 
 def copies(df: DataFrame, row_id: str, texts: list[str], numbers: list[str], amount: str | None, bucket_size: int = BUCKET) -> DataFrame:
     """(first_row_id, copy_row_id) of every copy beyond the first. Only records that have copies are joined to the rows."""
     records, rows = collapse(df, row_id, texts, numbers, amount, bucket_size)
     repeated = records.where("copies > 1").select("digest", "first_row_id")
-    return rows.join(repeated, "digest").where("row_id != first_row_id").select("first_row_id", F.col("row_id").alias("copy_row_id"))
+    out = stored(rows.join(repeated, "digest").where("row_id != first_row_id").select("first_row_id", F.col("row_id").alias("copy_row_id")), "copies")
+    forget(records, rows)
+    return out

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import stored
+from ledgerloom.runtime import forget, stored
 
 #: Letters of other scripts that have the shape of the Latin letter below them.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜаеорсухіјѕһԁԛԝ", "ABESIJKMHOPCTYXGQWaeopcyxijshdqw")
@@ -216,7 +216,9 @@ def same_look(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     forms = consistent(documents, doc_id, text).where(F.trim(F.regexp_replace("form", r"\s", "")) != "")
     digests = stored(forms.select("doc_id", F.sha2("form", 256).alias("same_as"), F.sha2("text", 256).alias("variant")), "looks")
     shared = digests.groupBy("same_as", "variant").agg(F.count("*").alias("n")).groupBy("same_as").agg(F.count("*").alias("variants")).where("variants > 1").select("same_as")
-    return digests.join(shared, "same_as")
+    out = stored(digests.join(shared, "same_as"), "variants")
+    forget(digests)
+    return out
 
 
 def look_pairs(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -224,7 +226,7 @@ def look_pairs(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Pairs of variants come first and are then filled with documents, so copies of one text never meet each other.
     """
-    docs = stored(same_look(documents, doc_id, text), "variants")
+    docs = same_look(documents, doc_id, text)
     variants = docs.select("same_as", "variant").distinct()
     v = variants.select(F.col("same_as").alias("class_b"), F.col("variant").alias("variant_b"))
     pairs = variants.join(v, (F.col("same_as") == F.col("class_b")) & (F.col("variant") < F.col("variant_b"))).select("same_as", "variant", "variant_b")
