@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.operators import joins
+from ledgerloom.operators.instants import read_times
+from ledgerloom.plans.instants_sql import SYSTEMS, day_sql, stamps_sql
 from ledgerloom.plans.proofs import _CUT, _NUM, _TB, cents, checks, count_if, proof, proof_sql, trial_balance, zero, zero_text
 from ledgerloom.runtime import stored, table
 
@@ -533,3 +535,67 @@ def gate_inputs(spark, sf_dir):
         checks(pos, {(1, "orders have numbers, lines and prices"): count_if(null("po_no", "po_line", "unit_price"))}), checks(repeated(pos.dropna(subset=["po_no", "po_line"]), "po_no", "po_line"), {(2, "order lines are entered once"): count_if(F.col("n") > 1)}), checks(inv, {(3, "invoices have vendors and amounts"): count_if(null("vendor", "extended_amount"))}),
         checks(table(spark, sf_dir, "po_receipts"), {(4, "receipts have orders"): count_if(null("po_no"))}), checks(repeated(o, "o_custkey", "o_orderdate"), {(5, "customers pay at most once a day"): count_if(F.col("n") > 1)}), checks(missing, {(6, "rates are given for all sources"): F.count("*")}), checks(table(spark, sf_dir, "source_targets"), {(7, "shares make one"): F.round(F.sum("target_share"), 6) - 1}),
     )
+
+
+# ---- the journal, test by test
+
+#: The weights of the tests of an entry.
+WEIGHTS = {"MANUAL": 1, "WEEKEND": 3, "HOLIDAY": 3, "AFTERHOURS": 2, "PERIODEND": 2, "POSTLAG": 3, "POSTAFTERCLOSE": 4, "BLANKDESC": 3, "SUSPENSE": 3, "REVENUEMANUAL": 3, "CASHREVENUE": 4, "UNREVERSED": 3, "REVAMOUNT": 3, "MATERIAL": 2, "DUPNEAR": 2, "UNAUTHUSER": 5, "SPLIT": 4}
+
+
+def journal_tests(lines: DataFrame, users: DataFrame, holidays: DataFrame, closed: str, manual: Column, material: Decimal, threshold: Decimal, near: int = 3) -> DataFrame:
+    """(entry_id, code): every test that an entry of ``lines`` (with ``day`` and ``stamp``) raises, once each.
+
+    ``users`` (posted_by) may post; ``holidays`` has days; what is posted after ``closed`` for a day up to it is late. Line
+    tests look at each line, entry tests at the entry's sum of debits, reversals at the entry they name.
+    """
+    name = F.lower(zero_text("account_name"))
+    marked = stored(lines.where("entry_id is not null").join(F.broadcast(holidays.select("day", F.lit(True).alias("_holiday"))), "day", "left").withColumn("_manual", manual), "marked")  # a year has few holidays
+    end = F.last_day("day")
+    by_line = {
+        "MANUAL": F.col("_manual"), "WEEKEND": F.weekday("day") >= 5, "HOLIDAY": F.col("_holiday"), "AFTERHOURS": (F.hour("stamp") < 7) | (F.hour("stamp") >= 19), "PERIODEND": F.datediff(end, "day") < 5, "POSTLAG": F.datediff("stamp", "day") > 5,
+        "POSTAFTERCLOSE": (F.col("stamp").cast("date") > day(closed)) & (F.col("day") <= day(closed)), "SUSPENSE": name.rlike("suspense|clearing"), "REVENUEMANUAL": F.col("_manual") & F.col("account").startswith("4"),
+    }
+    codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in by_line.items()]), lambda x: x.isNotNull())
+    out = marked.select("entry_id", F.explode(codes).alias("code"))
+    e = stored(marked.groupBy("entry_id").agg(cents(F.sum(zero("debit"))).alias("amount"), F.max(F.trim(zero_text("description"))).alias("said"), F.min("day").alias("day"), F.max("posted_by").alias("posted_by"), F.max("reversal_of").alias("reversal_of"), F.bool_or(F.col("account").startswith("10") & (zero("debit") > 0)).alias("cash"), F.bool_or(F.col("account").startswith("4") & (zero("credit") > 0)).alias("revenue")), "entries")
+    one = lambda df, code: df.select("entry_id", F.lit(code).alias("code"))
+    back = e.where("reversal_of is not null").select(F.col("reversal_of").alias("of"), F.col("amount").alias("_back"), F.col("entry_id").alias("_by"))
+    accruals = e.where(F.lower("said").contains("accru") & (F.datediff(F.last_day("day"), "day") < 5) & F.col("reversal_of").isNull())
+    amounts = marked.select("entry_id", "account", F.coalesce(F.when(F.col("debit") != 0, F.col("debit")), "credit").alias("a"), "day").where("a > 0 and day is not null").distinct().withColumn("_id", F.xxhash64("entry_id", "account", "a", "day"))
+    links = joins.band_links(amounts, "_id", ["account", "a"], "day", near).select("_id")
+    small = e.where((F.col("amount") > 0) & (F.col("amount") < F.lit(threshold)) & F.col("posted_by").isNotNull() & F.col("day").isNotNull())
+    split = small.groupBy("posted_by", "day").agg(F.count("*").alias("n"), F.sum("amount").alias("s")).where((F.col("n") > 1) & (F.col("s") >= F.lit(threshold))).select("posted_by", "day")
+    parts = [
+        out, one(e.where("said = ''"), "BLANKDESC"), one(e.where(F.col("amount") >= F.lit(material)), "MATERIAL"), one(e.where("cash and revenue"), "CASHREVENUE"), one(accruals.join(back.select(F.col("of").alias("entry_id")), "entry_id", "left_anti"), "UNREVERSED"),
+        one(e.join(back, F.col("entry_id") == F.col("of")).where("_back != amount").select(F.col("_by").alias("entry_id")), "REVAMOUNT"), one(amounts.join(links, "_id", "left_semi"), "DUPNEAR"), one(e.where("posted_by is not null").join(users.select("posted_by").distinct(), "posted_by", "left_anti"), "UNAUTHUSER"), one(small.join(split, ["posted_by", "day"], "left_semi"), "SPLIT"),
+    ]
+    return proof(*parts).distinct()
+
+
+def scored(tests: DataFrame) -> DataFrame:
+    """(entry_id, codes, score): the codes of each entry in the order of the alphabet and the sum of their weights."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("code"))
+    return tests.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set("code")), " ").alias("codes"), F.sum(weight).cast("int").alias("score"))  # a code at most once
+
+
+_SCAN = f"""WITH t AS ({stamps_sql(f'(SELECT *, posted_timestamp AS raw FROM je_entries LEFT JOIN {SYSTEMS} USING (source) WHERE entry_id IS NOT NULL)')}), m AS (SELECT *, utc AS stamp, {day_sql('effective_date')} AS day, source = 'GL-HUB' AS manual FROM t),
+e AS (SELECT entry_id, sum(coalesce(debit, 0)) AS amount, max(trim(coalesce(description, ''))) AS said, min(day) AS day, max(posted_by) AS posted_by, max(reversal_of) AS reversal_of, bool_or(account LIKE '10%' AND coalesce(debit, 0) > 0) AS cash, bool_or(account LIKE '4%' AND coalesce(credit, 0) > 0) AS revenue FROM m GROUP BY 1),
+a AS (SELECT DISTINCT entry_id, account, coalesce(nullif(debit, 0), credit) AS a, day FROM m WHERE coalesce(nullif(debit, 0), credit) > 0 AND day IS NOT NULL),
+s AS (SELECT * FROM e WHERE amount > 0 AND amount < 5000 AND posted_by IS NOT NULL AND day IS NOT NULL), sp AS (SELECT posted_by, day FROM s GROUP BY 1, 2 HAVING count(*) > 1 AND sum(amount) >= 5000),
+c AS (SELECT entry_id, 'MANUAL' AS code FROM m WHERE manual UNION SELECT entry_id, 'WEEKEND' FROM m WHERE isodow(day) >= 6 UNION SELECT entry_id, 'HOLIDAY' FROM m WHERE day IN (DATE '2025-01-01', DATE '2025-12-25') UNION SELECT entry_id, 'AFTERHOURS' FROM m WHERE hour(stamp) < 7 OR hour(stamp) >= 19 UNION SELECT entry_id, 'PERIODEND' FROM m WHERE date_diff('day', day, last_day(day)) < 5
+ UNION SELECT entry_id, 'POSTLAG' FROM m WHERE date_diff('day', day, CAST(stamp AS DATE)) > 5 UNION SELECT entry_id, 'POSTAFTERCLOSE' FROM m WHERE CAST(stamp AS DATE) > DATE '2025-06-30' AND day <= DATE '2025-06-30' UNION SELECT entry_id, 'SUSPENSE' FROM m WHERE regexp_matches(lower(coalesce(account_name, '')), 'suspense|clearing') UNION SELECT entry_id, 'REVENUEMANUAL' FROM m WHERE manual AND account LIKE '4%'
+ UNION SELECT entry_id, 'BLANKDESC' FROM e WHERE said = '' UNION SELECT entry_id, 'MATERIAL' FROM e WHERE amount >= 50000 UNION SELECT entry_id, 'CASHREVENUE' FROM e WHERE cash AND revenue UNION SELECT entry_id, 'UNREVERSED' FROM e WHERE contains(lower(said), 'accru') AND date_diff('day', day, last_day(day)) < 5 AND reversal_of IS NULL AND entry_id NOT IN (SELECT reversal_of FROM e WHERE reversal_of IS NOT NULL)
+ UNION SELECT r.entry_id, 'REVAMOUNT' FROM e r JOIN e o ON r.reversal_of = o.entry_id WHERE r.amount <> o.amount UNION SELECT x.entry_id, 'DUPNEAR' FROM a x JOIN a y ON x.account = y.account AND x.a = y.a AND (x.entry_id <> y.entry_id OR x.day <> y.day) AND abs(date_diff('day', x.day, y.day)) <= 3
+ UNION SELECT entry_id, 'UNAUTHUSER' FROM e WHERE posted_by IS NOT NULL AND posted_by NOT IN (SELECT approved_by FROM je_entries WHERE approved_by IS NOT NULL) UNION SELECT entry_id, 'SPLIT' FROM s JOIN sp USING (posted_by, day))
+SELECT entry_id, string_agg(code, ' ' ORDER BY code) AS codes, CAST(sum(CASE code {' '.join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())} END) AS INTEGER) AS score FROM c GROUP BY 1"""
+
+
+@query(_SCAN)
+def eng_journal_scan(spark, sf_dir):
+    """Seventeen tests of each journal entry and its score; approvers may post, the hub's entries are manual."""
+    systems, je = table(spark, sf_dir, "source_systems"), table(spark, sf_dir, "je_entries")
+    lines = read_times(read_times(je, "posted_timestamp", systems, "stamp", "stamp"), "effective_date", systems)
+    holidays = spark.createDataFrame([("2025-01-01",), ("2025-12-25",)], "d string").select(F.col("d").cast("date").alias("day"))
+    users = je.where("approved_by is not null").select(F.col("approved_by").alias("posted_by"))
+    return scored(journal_tests(lines, users, holidays, "2025-06-30", F.col("source") == "GL-HUB", D(50000), D(5000)))

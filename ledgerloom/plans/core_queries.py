@@ -11,7 +11,7 @@ from ledgerloom.operators.diff import FILING_FIELDS, diff_copies, diff_filings,
 from ledgerloom.operators.hierarchy import descendants, hierarchy, other_parents
 from ledgerloom.operators.instants import TARGET, dictionary, normalise
 from ledgerloom.operators.rejects import load_lines, parse_lines, rejected_lines
-from ledgerloom.plans.instants_sql import SYSTEMS, found_sql
+from ledgerloom.plans.instants_sql import SYSTEMS, found_sql, states_sql
 from ledgerloom.runtime import shared_dir, table
 
 STAMPS = (("je_entries", "line_id", "posted_timestamp", "stamp"), ("je_entries", "line_id", "effective_date", "date"), ("invoices", "row_id", "invoice_date", "date"), ("po_receipts", "row_id", "receipt_date", "date"))
@@ -40,8 +40,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p4_found with small fragments, so that small tables, too, go through several levels."""
-    found = hierarchy(table(spark, sf_dir, "totals_map"), F.col("total_field_id"), F.col("component_field_id"), fragment=100)
+    """As p4_found with a dozen fragments at the first level, so that small tables, too, go through several."""
+    links = table(spark, sf_dir, "totals_map")
+    found = hierarchy(links, F.col("total_field_id"), F.col("component_field_id"), fragment=links.count() // 12 + 1)
     return found.select(F.col("node").alias("field_id"), F.col("root").alias("root_field_id"), "depth")
 
 
@@ -175,6 +176,7 @@ SELECT CAST(1 AS INTEGER) AS run, x AS parsed, x AS held FROM a UNION ALL SELECT
 SQL = {
     "p6_kept": _KEPT,
     "p6_found": found_sql(),
+    "p6_unreadable": states_sql(),
     "p7_found": _rejects_sql(),
     "p7_recovered": _RECOVERED,
     "p3_found": _diff_sql(),

@@ -48,7 +48,15 @@ def stamps_sql(rows: str) -> str:
 _DAYS = (("je_entries", "line_id", "effective_date"), ("invoices", "row_id", "invoice_date"), ("po_receipts", "row_id", "receipt_date"))
 
 
-def found_sql() -> str:
+def _all_sql() -> str:
     days = " UNION ALL ".join(f"SELECT '{t}.{c}' AS src, {k} AS row_id, {c} AS raw, CAST({day_sql(c)} AS VARCHAR) AS norm FROM {t} LEFT JOIN {SYSTEMS} USING (source)" for t, k, c in _DAYS)
     stamps = stamps_sql(f"(SELECT line_id, posted_timestamp AS raw, tz, o FROM je_entries LEFT JOIN {SYSTEMS} USING (source))")
-    return f"WITH s AS ({stamps}), a AS (SELECT 'je_entries.posted_timestamp' AS src, line_id AS row_id, raw, strftime(utc, '%Y-%m-%dT%H:%M:%SZ') AS norm FROM s UNION ALL {days}) SELECT src, row_id, norm FROM a WHERE norm IS NOT NULL AND norm <> raw"
+    return f"WITH s AS ({stamps}), a AS (SELECT 'je_entries.posted_timestamp' AS src, line_id AS row_id, raw, strftime(utc, '%Y-%m-%dT%H:%M:%SZ') AS norm FROM s UNION ALL {days})"
+
+
+def found_sql() -> str:
+    return _all_sql() + " SELECT src, row_id, norm FROM a WHERE norm IS NOT NULL AND norm <> raw"
+
+
+def states_sql() -> str:
+    return _all_sql() + " SELECT src, CASE WHEN raw IS NULL THEN 'missing' WHEN norm IS NULL THEN 'unreadable' WHEN norm = raw THEN 'as_is' ELSE 'normalised' END AS state, count(*) AS n FROM a GROUP BY 1, 2"

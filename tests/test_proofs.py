@@ -110,3 +110,22 @@ def test_policies_as_tables(spark, tmp_path):
 def test_name_keys(spark):
     df = spark.createDataFrame([("A&B  Rent, Ltd. 02", "St. John, A.", "INV-01/x"), (None, None, None)], "a string, p string, n string")
     assert [tuple(r) for r in df.select(text.account_key(F.col("a")), text.payer_key(F.col("p")), text.number_key(F.col("n"))).collect()] == [("aandb rent ltd", "st john a", "inv01x"), ("", "", "")]
+
+
+def test_journal_tests(spark):
+    at = lambda n, h=12: datetime.datetime.combine(day(n), datetime.time(h))
+    # 2025-06-15 is a Sunday
+    rows = [
+        ("a", "1000", "Bank", D(9), None, "cash sale", "u1", None, "HUB", day(1), at(1)), ("a", "4000", "Sales", None, D(9), "cash sale", "u1", None, "HUB", day(1), at(1)), ("b", "6000", "Rent", D(60000), None, "", "u1", None, "GL", day(0), at(10, 22)),
+        ("c", "2990", "Clearing", D(8), None, "accrued rent", "u9", None, "GL", day(15), at(15)), ("d", "6000", "Rent", D(3000), None, "x1", "u1", None, "GL", day(3), at(3)), ("e", "6000", "Rent", D(3000), None, "x2", "u1", "f", "GL", day(3), at(20)), ("f", "6000", "Rent", D(2), None, "accrued fee", "u1", None, "GL", day(14), at(14)), (None, "1", "n", D(1), None, None, None, None, None, None, None),
+    ]
+    schema = "entry_id string, account string, account_name string, debit decimal(18,2), credit decimal(18,2), description string, posted_by string, reversal_of string, source string, day date, stamp timestamp_ntz"
+    got = closing.journal_tests(spark.createDataFrame(rows, schema), spark.createDataFrame([("u1",)], "posted_by string"), spark.createDataFrame([(day(1),)], "day date"), "2025-06-30", F.col("source") == "HUB", D(50000), D(5000))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.entry_id, set()).add(r.code)
+    assert by == {
+        "a": {"MANUAL", "HOLIDAY", "REVENUEMANUAL", "CASHREVENUE"}, "b": {"WEEKEND", "AFTERHOURS", "POSTLAG", "BLANKDESC", "MATERIAL"}, "c": {"PERIODEND", "SUSPENSE", "UNREVERSED", "UNAUTHUSER"},
+        "d": {"DUPNEAR", "SPLIT"}, "e": {"DUPNEAR", "SPLIT", "REVAMOUNT", "POSTLAG", "POSTAFTERCLOSE"}, "f": {"PERIODEND", "WEEKEND"},
+    }
+    assert {r.entry_id: (r.codes, r.score) for r in closing.scored(got).collect()}["d"] == ("DUPNEAR SPLIT", 6)
