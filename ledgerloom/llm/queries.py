@@ -85,8 +85,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document that looks like a differing one, with its class."""
-    return same_look(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "same_as")
+    """Each document that looks like a differing one, with the least document of its class."""
+    docs = same_look(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("same_as").alias("look"))
+    return docs.join(docs.groupBy("look").agg(F.min("doc_id").alias("same_as")), "look").select("doc_id", "same_as")
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ def _copies_sql() -> str:
     return f"WITH c AS (SELECT row_id, list_sort([{fields}, {amount}]) AS k FROM invoices), f AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS first_row_id FROM c) SELECT first_row_id, row_id AS copy_row_id FROM f WHERE row_id <> first_row_id"
 
 
-def _looks_sql() -> str:
+def _looks_sql(select: str) -> str:
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     # Written down here once more, by code point, so that the SQL shares no table with the operator.
     alike = {"A": "0410 0391", "B": "0412 0392", "C": "0421", "E": "0415 0395", "H": "041D 0397", "I": "0406 0399", "J": "0408", "K": "041A 039A", "M": "041C 039C", "N": "039D", "O": "041E 039F", "P": "0420 03A1", "S": "0405", "T": "0422 03A4", "X": "0425 03A7", "Y": "03A5 0423", "Z": "0396",
@@ -119,11 +120,14 @@ def _looks_sql() -> str:
         form = f"replace({form}, '{joined}', '{letters}')"
     for a, b in tables:
         form = f"translate({form}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return f"WITH f AS (SELECT doc_id, text, nfc_normalize({form}) AS form FROM documents WHERE trim(text) <> '') SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id"
+    return f"WITH f AS (SELECT doc_id, text, nfc_normalize({form}) AS form FROM documents WHERE trim(text) <> '') {select}"
 
 
 def _records_sql() -> str:
     return _copies_sql().partition(" SELECT first_row_id")[0] + " SELECT first_row_id, count(*) AS copies FROM f GROUP BY 1"
 
 
-SQL = {"p2_found": _copies_sql(), "p2_records": _records_sql(), "p10_found": _looks_sql()}
+_PAIRS = "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id"
+_CLASSES = "SELECT doc_id, same_as FROM f JOIN (SELECT form, min(doc_id) AS same_as FROM f GROUP BY 1 HAVING count(DISTINCT text) > 1) USING (form)"
+
+SQL = {"p2_found": _copies_sql(), "p2_records": _records_sql(), "p10_found": _looks_sql(_PAIRS), "p10_classes": _looks_sql(_CLASSES)}
