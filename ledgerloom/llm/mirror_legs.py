@@ -182,10 +182,11 @@ def _candidates(pool: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b"), F.xxhash64("a_pair").alias("of"), *ranks, *room, cites.alias("cites"), wrong.alias("wrong"))
 
 
-def _trial(pairs: DataFrame) -> tuple[int, int]:
-    """(right, wrong): what a rule takes first for each labelled set if nothing is said about citations."""
-    first = pairs.groupBy("a").agg(F.min_by(F.struct("cites", "wrong"), F.struct("gap", "blind", "off", "lo", "hi")).alias("x"))
-    return tuple(first.agg(F.count_if("x.cites"), F.count_if("x.wrong")).first())
+def _survey(pairs: DataFrame) -> tuple[int, int, int]:
+    """(most, right, wrong): candidates of the pair of entities that has most, and what a rule takes first for each labelled set if nothing is said about citations."""
+    first = pairs.groupBy("of", "a").agg(F.count("*").alias("n"), F.min_by(F.struct("cites", "wrong"), F.struct("gap", "blind", "off", "lo", "hi")).alias("x"))
+    of = first.groupBy("of").agg(F.sum("n").alias("n"), F.count_if("x.cites").alias("right"), F.count_if("x.wrong").alias("wrong"))
+    return tuple(x or 0 for x in of.agg(F.max("n"), F.sum("right"), F.sum("wrong")).first())
 
 
 _SHARE = "a long, b long, a_used long, b_used long, k long"
@@ -206,15 +207,15 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b", "a_used", "b_used", "k"])
 
 
-def _shares(pairs: DataFrame) -> DataFrame:
+def _shares(pairs: DataFrame, most: int) -> DataFrame:
     """(a, b, a_used, b_used, k): pairs of sets by rank until none is left of which both have open legs; k legs of each, after those used.
 
     To take the best pair first, and to take all that are each other's best and repeat, comes to the same. The latter is done
-    while one pair of entities has over CROWD candidates; what remains is taken in order.
+    while one pair of entities has over CROWD candidates (``most`` at first); what remains is taken in order.
     """
     rank = F.struct("gap", "against", "off", "lo", "hi")
     pairs, rounds = pairs.where("not wrong"), []
-    while not pairs.groupBy("of").count().where(F.col("count") > CROWD).isEmpty():
+    while most > CROWD:
         best = lambda x, y: pairs.groupBy(x).agg(F.min_by(y, rank).alias(y))  # noqa: B023, E731
         k = F.least("a_open", "b_open")
         chosen = stored(pairs.join(best("a", "b"), ["a", "b"]).join(best("b", "a"), ["a", "b"]).select("a", "b", "a_used", "b_used", k.alias("k")), "shares")
@@ -224,7 +225,7 @@ def _shares(pairs: DataFrame) -> DataFrame:
             left = left.join(chosen.select(x, F.col("k").alias("_k")), x, "left").withColumns({f"{x}_used": F.col(f"{x}_used") + F.coalesce("_k", F.lit(0)), f"{x}_open": F.col(f"{x}_open") - F.coalesce("_k", F.lit(0))}).drop("_k")
         rest = stored(left.where("a_open > 0 and b_open > 0"), "candidates")
         forget(pairs)
-        pairs = rest
+        pairs, most = rest, _survey(rest)[0]
     shares = pairs.repartition("of").sortWithinPartitions("gap", "against", "off", "lo", "hi").mapInPandas(_in_order, _SHARE)
     for r in rounds:
         shares = shares.unionAll(r)
@@ -247,12 +248,12 @@ def match_legs(df: DataFrame, cascade: tuple[Rule, ...] = CASCADE) -> DataFrame:
     pool, found, trials = sets, [], []
     for turn, rule in enumerate(cascade):
         pairs = stored(_candidates(pool, rule), "candidates")
-        if pairs.isEmpty():
-            trials.append((rule.name, 0, 0))
+        most, right, wrong = _survey(pairs)
+        trials.append((rule.name, right, wrong))
+        if not most:
             forget(pairs)
             continue
-        trials.append((rule.name, *_trial(pairs)))
-        found.append(stored(_shares(pairs).withColumn("rule", F.lit(rule.name)), "shares"))
+        found.append(stored(_shares(pairs, most).withColumn("rule", F.lit(rule.name)), "shares"))
         forget(pairs)
         if turn < len(cascade) - 1:
             taken = found[-1].select(F.explode(F.array("a", "b")).alias("set"), "k").groupBy("set").agg(F.sum("k").alias("_k"))
